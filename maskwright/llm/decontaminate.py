@@ -35,7 +35,7 @@ from .storage import keep
 from .tokens import Words, groups
 
 WINDOW = 13
-SEGMENT_WORDS = 2 << 20
+SEGMENT_WORDS = 1 << 20
 BLOCK_CHARS = 16 << 20
 #: Places left free between documents; no phrase or proximity span may be longer.
 GAP = 256
