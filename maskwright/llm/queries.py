@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_crf import quality_scores
 
@@ -23,6 +24,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,12 +49,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')))) END AS grams FROM d),
+m AS (SELECT doc_id, CASE WHEN len(grams) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(grams, '|'))) END AS class_id, grams FROM g),
+c AS (SELECT class_id, count(*) AS n_copies, len(any_value(grams)) AS n, any_value(grams) AS grams FROM m GROUP BY class_id),
+s AS (SELECT class_id, n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM s a JOIN s b ON a.gram = b.gram AND a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 5 * i >= 4 * (na + nb - i)),
+r(x, y) AS (SELECT class_id, class_id FROM c UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x AS class_id, min(y) AS group_id FROM r GROUP BY x),
+t AS (SELECT x AS class_id, sum(n_copies) AS n_links, min(y) AS link_id FROM l JOIN c ON l.y = c.class_id GROUP BY x)
+SELECT doc_id, class_id, n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, link_id, group_id FROM m JOIN c USING (class_id) JOIN k USING (class_id) LEFT JOIN t USING (class_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
     "op5_benchmark_decontamination": _OP5,
+    "op7_ngram_jaccard_join": _OP7,
 }
