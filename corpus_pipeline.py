@@ -1,22 +1,84 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
-and returns a DataFrame.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents.  A row is known by a hash of its id and
+content, so rows that share an id are judged apart and repeated rows together.
+A third of the rows from one source or in one group of copies is no special
+case: no stage groups by either.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from maskwright.llm.decontaminate import contamination
+from maskwright.llm.ngram_join import near_duplicates
+from maskwright.llm.packing import pack
+from maskwright.llm.pii import replace_entities
+from maskwright.llm.quality_crf import keep_good
+from maskwright.llm.storage import keep
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def _known(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column, of a name not in use, that tells its rows apart."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", "source")), row
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    known, row = _known(docs)
+    found = keep(near_duplicates(known, row).select("doc_id", "group_id"), "groups")
+    dropped = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(row)).distinct()
+    kept = known.join(dropped, row, "left_anti")
+    repeated = keep(found.filter(F.col("doc_id") == F.col("group_id")).groupBy(F.col("doc_id").alias(row)).count().filter("count > 1").select(row), "repeated")
+    if repeated.take(1):
+        once = kept.join(repeated, row, "left_semi").dropDuplicates([row])
+        kept = kept.join(repeated, row, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold benchmark passages."""
+    known, row = _known(docs)
+    found = contamination(known, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
+    dropped = keep(found.filter("contaminated").select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return known.join(dropped, row, "left_anti").select(docs.columns)
+
 
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; n_chars follows the new text."""
+    return replace_entities(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents, packed."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("PII", surrogates),
+    ("best-fit packing", packing),
+]
 
 #: SQL cannot express these stages; tests hold them against plain Python.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each result but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
