@@ -11,12 +11,17 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import replace_entities
 from .quality_crf import quality_scores
+from .secret_scan import ACCESS, ASSIGN, HEX, LEAST, PRIOR, secret_report, train_locally
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -40,6 +45,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lower-cases A-Z alone, and takes the words of the shared definition.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+def _op4() -> str:
+    def spans(kind: str, rank: int, pattern: str, condition: str = "true") -> str:
+        pattern = pattern.replace("'", "''")
+        marked = f"string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+        return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(p) AS e FROM (
+          SELECT doc_id, i, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS s FROM (
+            SELECT doc_id, unnest(parts) AS p, unnest(range(len(parts))) AS i FROM (SELECT doc_id, {marked} AS parts FROM d)))
+        WHERE i % 2 = 1 AND {condition}"""
+
+    assign = ASSIGN.replace("'", "''")
+    score = "list_sum(list_transform(range(1, length(p)), lambda k: w[ascii(p[k]) * 128 + ascii(p[k+1]) + 1]))"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+b AS (({spans("assign", 0, ASSIGN, f"length(regexp_extract(p, '{assign}', 2)) >= 6")}) UNION ALL ({spans("access", 1, ACCESS)}) UNION ALL ({spans("hex", 2, HEX)})),
+c AS ({spans("markov", 3, f"[A-Za-z0-9+/_=-]{{{LEAST},}}", f"regexp_matches(p, '[A-Za-z]') AND (SELECT {score} FROM (SELECT {train_locally()} AS w)) > {PRIOR}")}),
+m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+a AS (SELECT doc_id, rank, s, e, kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM m)),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_markov,
+  string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_markov, 0) AS n_markov,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -70,6 +100,7 @@ SELECT doc_id, class_id, n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_lin
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -78,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_secret_scan": _op4(),
     "op5_benchmark_decontamination": _OP5,
     "op7_ngram_jaccard_join": _OP7,
 }
