@@ -11,6 +11,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import replace_entities
 from .quality_crf import quality_scores
+from .quality_rules import quality_report
 from .secret_scan import ACCESS, ASSIGN, HEX, LEAST, PRIOR, secret_report, train_locally
 
 
@@ -34,6 +35,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_quality_rules": op8_quality_rules,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import MARK, literal, with_spans
+from .spans import MARK, literal, settled, with_spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -44,7 +44,9 @@ previous process product profile project property provider query reader record r
 request resource response result return schedule screen search section select server service session setting simple single
 source standard start state status storage stream string student subject system table target template their thing thread through
 title token total transaction transfer translation type update user value version vertical video view visible which width window
-within without worker world writer internationalization representation administration understanding""".split()
+within without worker world writer internationalization representation administration understanding nouveaux niveaux cheveux lieux curieux travaux tableaux bureaux
+oiseaux ouvrier premier dernier jouer lequel quelque auquel lumineux heureux aiguille ouest iode cuenta archivo usuario acceso direcciones
+quiero cualquier bosque asociado ocioso zugang benutzer datei verzeichnis kennwort gesellschaft schreiben zwischen achtzig""".split()
 
 
 def _stream(label: str):
@@ -121,6 +123,7 @@ def find_secrets(docs: DataFrame, least: int = LEAST, prior: int = PRIOR, model:
     df = df.withColumn("base", F.expr(f"array_sort(concat({named}))"))
     # fixed spans take precedence; spans of each kind are in order and apart, so only texts with both need the comparison
     df = df.withColumn("added", F.expr("transform(filter(markov, x -> not exists(base, b -> b.s < x.e and x.s < b.e)), x -> struct(x.s as s, 3 as rank, x.e as e, 'markov' as kind))"))
+    df = settled(df, ["doc_id"], ["base", "added", *KINDS[:3]])
     return df.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.size("added").cast("long").alias("n_markov"), "base", "added")
 
 

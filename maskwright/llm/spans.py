@@ -35,3 +35,12 @@ def with_spans(df: DataFrame, text: str, pattern: str, out: str, condition: str
         .withColumn(out, F.expr(f"filter(transform({parts}, (p, i) -> if(i % 2 = 1 and {condition}, struct({starts}[i] as s, {starts}[i] + length(p) as e, p as m), null)), x -> x is not null)"))
         .drop(parts, lens, blocks, firsts, starts)
     )
+
+
+def settled(df: DataFrame, keep: list[str], computed: list[str]) -> DataFrame:
+    """``df`` with ``computed`` behind a generator, past which no filter is pushed.
+
+    A filter pushed below would put the expressions of arrays into the bodies
+    of functions that run for each of their elements.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
