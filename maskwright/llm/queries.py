@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import render
 from .decontaminate import contamination
+from .html_extract import extract
 from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import replace_entities
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +60,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lower-cases A-Z alone, and takes the words of the shared definition.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+#: The pages of these tables hold one article element each, with headings, paragraphs and few references.
+_OP2 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(t, '</?(?:p|h1)>') AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
+_OP3 = """
+WITH t AS (SELECT DISTINCT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, place, role, text, max(place) OVER (PARTITION BY conv_id) AS n,
+  string_agg(place || chr(1) || role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY place, role, text) AS h FROM t),
+w AS (SELECT h, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY h),
+k AS (SELECT conv_id, n_copies FROM w WHERE h NOT IN (SELECT h FROM p WHERE place < n))
+SELECT conv_id, CAST(0 AS BIGINT) AS block, count(*) AS n_turns, max(n_copies) AS n_copies,
+  string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place, role, text) AS text
+FROM t JOIN k USING (conv_id) GROUP BY conv_id
+"""
+
 
 def _op4() -> str:
     def spans(kind: str, rank: int, pattern: str, condition: str = "true") -> str:
@@ -105,6 +135,8 @@ SELECT doc_id, class_id, n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_lin
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -115,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_html_extraction": _OP2,
+    "op3_chat_formatting": _OP3,
     "op4_secret_scan": _op4(),
     "op5_benchmark_decontamination": _OP5,
     "op7_ngram_jaccard_join": _OP7,
