@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import render
 from .decontaminate import contamination
 from .html_extract import extract
+from .license_scan import NOTICES, license_report
 from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import replace_entities
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -60,6 +65,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lower-cases A-Z alone, and takes the words of the shared definition.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+def _op1() -> str:
+    notices = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(NOTICES))
+    return f"""
+WITH n AS (SELECT k, license, {_WORDS} AS w FROM (VALUES {notices}) AS v(k, license, text)),
+ns AS (SELECT DISTINCT k, license, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT k, license, w, unnest(range(1, len(w) - 3)) AS i FROM n)),
+nc AS (SELECT k, license, count(*) AS m FROM ns GROUP BY k, license),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ds AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+p AS (SELECT doc_id, k, i, gram, m, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) > m + 4 THEN 1 ELSE 0 END AS cut FROM ds JOIN ns USING (gram) JOIN nc USING (k)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, k ORDER BY i) AS run FROM p),
+o AS (SELECT DISTINCT doc_id, license, a, b FROM (SELECT doc_id, k, run, min(i) - 1 AS a, max(i) + 4 AS b, count(DISTINCT gram) AS c FROM r GROUP BY doc_id, k, run) JOIN nc USING (k) WHERE 5 * c >= 4 * m),
+x AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, string_agg(license || ':' || a || ':' || b, ',' ORDER BY a, b, license) AS spans FROM o GROUP BY doc_id),
+y AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM o) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
+
+
 #: The pages of these tables hold one article element each, with headings, paragraphs and few references.
 _OP2 = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS t FROM pages),
@@ -135,6 +157,7 @@ SELECT doc_id, class_id, n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_lin
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_html_extraction": op2_html_extraction,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scan": op4_secret_scan,
@@ -147,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_license_scan": _op1(),
     "op2_html_extraction": _OP2,
     "op3_chat_formatting": _OP3,
     "op4_secret_scan": _op4(),

@@ -8,6 +8,7 @@ lineage: a lost executor costs the tasks it ran, never the stages before.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Limits the session's Arrow batches, which bound what a Python worker holds, to ``limit`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)([kmg]?)", spark.conf.get(name, "1g").lower())
+    if not now or int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] > limit:
+        spark.conf.set(name, str(limit))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again; removed when Python ends."""
     spark = df.sparkSession
