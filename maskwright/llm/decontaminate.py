@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import keep
+from .storage import keep, small_batches
 from .tokens import Words, groups
 
 WINDOW = 13
@@ -88,6 +88,7 @@ def _index_rows(segment_words: int):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The stored index of all ``docs``, whole texts."""
+    small_batches(docs.sparkSession)
     return keep(docs.select(F.col(id_col).cast("long"), F.col("text")).mapInArrow(_index_rows(segment_words), INDEX), "positional-index")
 
 

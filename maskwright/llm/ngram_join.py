@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, small_batches
 from .tokens import Words, groups, mix, stream
 
 SIZE = 5
@@ -262,6 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Classes, numbers of links and groups of all documents; see the module's text."""
+    small_batches(docs.sparkSession)
     n_bands, n_rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     signed = keep(texts.mapInArrow(_sign(size, n_bands, n_rows), "doc_id long, cls binary, n int, bands array<long>"), "signatures")
