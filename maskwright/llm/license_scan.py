@@ -1,11 +1,11 @@
 """License scan: MinHash bands over overlapping windows retrieve notices, exact containment verifies them.
 
 A notice is a set of five-word shingles.  Windows of about as many shingles
-slide over every whole text; their MinHash values, cut into bands, are looked
-up among the notices' bands.  ``BANDS`` and ``ROWS`` are set so that a window
-whose similarity to a notice is 0.6 shares a band with a probability of over
-0.999, and one of 0.88, the least for an unchanged notice at any place, of
-1 - 1e-10.  For every text and notice retrieved, all shingles of the notice in
+slide over every whole text; their MinHash values, in bands of one row, are
+looked up among the notices' bands: five-word shingles are rare enough for one
+row to be selective.  With ``BANDS`` bands a window whose similarity to a
+notice is 0.6 shares one with a probability of 0.9999, and one of 0.88, the
+least for an unchanged notice at any place, of 1 - 1e-9.  For every text and notice retrieved, all shingles of the notice in
 the text are located; places no further apart than the notice is long form an
 occurrence, which counts if it holds at least ``threshold`` of the notice's
 distinct shingles.
@@ -29,7 +29,7 @@ from .tokens import Words, groups, stream
 
 SIZE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 2
+BANDS = 10
 MOST_NOTICES = 5000
 
 # Sentences by which texts declare their license.
@@ -87,55 +87,53 @@ class Notices:
             raise ValueError(f"a notice has fewer than {SIZE} words")
         grams, bounds = w.shingles(SIZE)
         self.sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.factors, self.shifts = stream(41, BANDS * ROWS) | np.uint64(1), stream(42, BANDS * ROWS)
-        self.weights = stream(43, ROWS) | np.uint64(1)
+        self.factors = stream(41, BANDS) | np.uint64(1)
+        #: By window length and band: notices by their least hash, and which upper halves of hashes occur.
         self.windows: dict[int, list[dict[int, list[int]]]] = {}
         for k, s in enumerate(self.sets):
-            lows = [self.hashed(s, i).min() for i in range(BANDS * ROWS)]
             tables = self.windows.setdefault(window_for(len(s)), [{} for _ in range(BANDS)])
-            for band in range(BANDS):
-                value = self.joined([np.array([lows[band * ROWS + r]]) for r in range(ROWS)])[0]
-                tables[band].setdefault(int(value), []).append(k)
-        self.filters = {}
+            for band, low in enumerate(self.hashed(s)):
+                tables[band].setdefault(int(low.min()), []).append(k)
+        self.halves = {}
         for size, tables in self.windows.items():
-            self.filters[size] = np.zeros((BANDS, 1 << 16), bool)
+            self.halves[size] = np.zeros((BANDS, 1 << 16), bool)
             for band, table in enumerate(tables):
-                self.filters[size][band, [v >> 48 for v in table]] = True
-
-    def hashed(self, grams: np.ndarray, i: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((grams * self.factors[i] + self.shifts[i]) >> np.uint64(32)).astype(np.uint32)
-
-    def joined(self, rows: list[np.ndarray]) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return sum((r.astype(np.uint64) + np.uint64(1)) * w for r, w in zip(rows, self.weights, strict=True))
+                self.halves[size][band, [v >> 16 for v in table]] = True
+
+    def hashed(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        """A 32-bit hash of every shingle for each band; one product serves two bands."""
+        for i in range(0, BANDS, 2):
+            with np.errstate(over="ignore"):
+                both = grams * self.factors[i]
+                both ^= both >> np.uint64(32)
+                both *= self.factors[i + 1]
+                both ^= both >> np.uint64(29)
+            halves = both.view(np.uint32).reshape(-1, 2)
+            yield np.ascontiguousarray(halves[:, 0])
+            yield np.ascontiguousarray(halves[:, 1])
 
     def retrieve(self, grams: np.ndarray) -> set[tuple[int, int]]:
         """(window start, notice) of all windows that share a band with a notice."""
         out: set[tuple[int, int]] = set()
         largest = max(self.windows)
-        for band in range(BANDS):
-            lows: dict[int, list[np.ndarray]] = {size: [] for size in self.windows}
-            for r in range(ROWS):
-                m, reach = self.hashed(grams, band * ROWS + r), 1
-                while True:  # m: the least of ``reach`` values from each place on
-                    for size in self.windows:
-                        if reach <= size < 2 * reach and len(m) > size - reach:
-                            step = max(1, size // 8)
-                            # the last window counts whatever the step
-                            n = len(m) - (size - reach)
-                            at = np.unique(np.append(np.arange(0, n, step), n - 1)) if step > 1 else slice(0, n)
-                            lows[size].append(np.minimum(m[: n][at], m[size - reach :][:n][at]))
-                    if 2 * reach > largest or len(m) <= reach:
-                        break
-                    m, reach = np.minimum(m[:-reach], m[reach:]), 2 * reach
-            for size, rows in lows.items():
-                if len(rows) == ROWS:
-                    value = self.joined(rows)
-                    step = max(1, size // 8)
-                    for i in np.flatnonzero(self.filters[size][band][value >> np.uint64(48)]):
-                        for k in self.windows[size][band].get(int(value[i]), ()):
-                            out.add((min(int(i) * step, len(grams) - size), k))
+        for band, m in enumerate(self.hashed(grams)):
+            reach = 1  # m: the least of ``reach`` hashes from each place on
+            while True:
+                for size, tables in self.windows.items():
+                    rest = size - reach
+                    if not (reach <= size < 2 * reach and len(m) > rest):
+                        continue
+                    n, step = len(m) - rest, max(1, size // 8)
+                    low = np.minimum(m[:n:step], m[rest::step][: -(-n // step)]) if rest else m[::step]
+                    for i in np.flatnonzero(self.halves[size][band][low >> np.uint32(16)]):
+                        for k in tables[band].get(int(low[i]), ()):
+                            out.add((int(i) * step, k))
+                    if step > 1 and (n - 1) % step:  # the last window counts whatever the step
+                        for k in tables[band].get(int(min(m[n - 1], m[n - 1 + rest])), ()):
+                            out.add((n - 1, k))
+                if 2 * reach > largest or len(m) <= reach:
+                    break
+                m, reach = np.minimum(m[:-reach], m[reach:]), 2 * reach
         return out
 
     def occurrences(self, grams: np.ndarray, k: int, threshold: float) -> list[tuple[int, int]]:
