@@ -1,0 +1,128 @@
+"""Every operator on odd rows, on empty tables and on columns with names of its own."""
+
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from maskwright.llm.chat_format import render
+from maskwright.llm.decontaminate import contamination
+from maskwright.llm.html_extract import extract
+from maskwright.llm.license_scan import license_report
+from maskwright.llm.ngram_join import near_duplicates
+from maskwright.llm.packing import pack
+from maskwright.llm.pii import replace_entities
+from maskwright.llm.quality_crf import quality_scores
+from maskwright.llm.quality_rules import quality_report
+from maskwright.llm.secret_scan import secret_report
+
+BENCH = [("a", "in three rows of this table"), (None, "one"), ("b", None), ("c", "")]
+
+
+@pytest.fixture(scope="session")
+def bench(spark):
+    return spark.createDataFrame(BENCH, "item_id string, text string")
+
+
+def by_row(spark, bench, labels):
+    return {
+        "license": license_report,
+        "secret": secret_report,
+        "contamination": lambda d: contamination(d, bench),
+        "near": near_duplicates,
+        "rules": lambda d: quality_report(d, labels),
+        "pii": replace_entities,
+        "scores": lambda d: quality_scores(d, labels),
+    }
+
+
+@pytest.mark.parametrize("name", ["license", "secret", "contamination", "near", "rules", "pii", "scores"])
+def test_one_row_out_per_row_in(spark, odd, none, bench, labels, name):
+    f = by_row(spark, bench, labels)[name]
+    out = f(odd)
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in odd.collect())
+    empty = f(none)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_pack(odd, none):
+    out = pack(odd).collect()
+    assert pack(none).count() == 0
+    docs = {}
+    for r in out:
+        docs.setdefault((r.doc_id, r.piece), []).append(r)
+        assert 0 < r.length <= 1024 and r.offset + r.length <= 1024
+    assert len(docs[6, 0]) == 2 and len(docs[None, 0]) == 2
+    assert [r.length for r in docs[1, 0]] == [1] and docs[1, 0][0].ids_crc32 == zlib.crc32((2).to_bytes(4, "little"))
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append(r)
+    for rows in bins.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+
+
+def test_contamination_rule(odd, bench):
+    rows = {(r.doc_id, r.n_words): r for r in contamination(odd, bench).collect()}
+    same = rows[6, 9]
+    # a shorter item is one window; the item without an id marks words but is not listed
+    assert (same.n_hit, same.n_items, same.contaminated, same["items"]) == (6, 1, True, ["a"])
+    assert rows[4, 1].n_hit == 1 and rows[4, 1].n_items == 0
+    assert rows[1, 0].n_words == 0 and not rows[1, 0].contaminated
+
+
+def test_near_duplicates_of_odd_rows(odd):
+    rows = near_duplicates(odd).collect()
+    same = [r for r in rows if r.n_copies == 3]
+    assert sorted(r.doc_id for r in same) == [6, 6, 7] and {r.class_id for r in same} == {6}
+    assert all(r.class_id == r.doc_id and r.n_links == 0 for r in rows if r.doc_id in (1, 2, 3))
+
+
+def test_conversations(spark):
+    kind = "conv_id long, turn long, role string, text string, h1 int, block string"
+    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 5, "user", "hi"), (4, 5, "user", "hi"), (5, None, None, None), (None, 0, "user", "lost"), (6, 0, "user", "hi"), (6, 1, "assistant", "no"), (6, 1, "assistant", "maybe")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], kind)
+    out = {r.conv_id: r for r in render(df).collect()}
+    assert set(out) == {2, 5, 6, None} and out[2].n_copies == 2
+    assert out[2].text == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n" and out[5].text == "<||>\n<|end|>\n"
+    assert out[6].n_turns == 3 and out[6].text.index("maybe") < out[6].text.index("no<")
+    assert render(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(c, i, "user", f"t{i}", 1, "z") for c, n in ((1, 2500), (2, 2499), (3, 1024)) for i in range(n)], kind)
+    got = sorted((r.conv_id, r.block, r.n_turns) for r in render(long).collect())
+    assert got == [(1, 0, 1024), (1, 1, 1024), (1, 2, 452)]
+
+
+def test_pages(spark):
+    kind = "page_id long, url string, html string, host string, wrapper string"
+    pages = [
+        (1, "http://a.example/x", None), (2, None, ""), (3, "http://a.example/y", "<p>a &lt; b<br>c  d</p><div class='user-comments'><p>no</p></div><script>if(a<b)'</div>'</script><p>e<b>f</b>g"),
+        (4, "http://a.example/z", "<article><h1>T</h1><p>x &amp; y<p>z<aside>no</aside></article><p>outside"), (4, "http://a.example/z", "<article><h1>T</h1><p>x &amp; y<p>z<aside>no</aside></article><p>outside"),
+        *((10 + i, "http://b.example/", f"<div><ul><li><a href=x>Home</a></li><li><a href=y>News{i}</a></li></ul><h2>Acme news</h2><div><p>story {i}</p><p>more {i}</p></div></div>") for i in range(4)),
+        (20, "http://c.example", "<div " * 2000 + "<p>\"" * 500 + "<" * 3000),
+    ]
+    df = spark.createDataFrame([(*p, "h", "w") for p in pages], kind).repartition(3)
+    out = sorted(extract(df).collect(), key=lambda r: (r.page_id, r.text))
+    text = {r.page_id: r.text for r in out}
+    assert len(out) == len(pages) and text[1] == text[2] == ""
+    assert text[3] == "a < b c d\nefg" and text[4] == "T\nx & y\nz"
+    # the menu and the heading that all pages of the host share are no content
+    assert text[10] == "story 0\nmore 0" and all(r.n_chars == len(r.text) for r in out)
+    assert extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, odd, none, labels, bench, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd, none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= docs.count()
+    kept = corpus_pipeline.deduplicate(spark, odd, str(tmp_path)).collect()
+    # one of the three copies; of texts without words all rows but repeated ones stay
+    assert sum(r.text == "the same text in three rows of this table" for r in kept) == 1 and len(kept) == odd.count() - 2
+    clean = corpus_pipeline.decontaminate(spark, odd, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in clean) == sorted(str(r.doc_id) for r in odd.collect() if r.text != "the same text in three rows of this table" and r.text != "one")
+    masked = {r.doc_id: r for r in corpus_pipeline.surrogates(spark, odd, str(tmp_path)).filter("doc_id = 7").orderBy("text").collect()}
+    assert all("c.example" not in r.text and r.n_chars == len(r.text) for r in masked.values())
