@@ -113,21 +113,37 @@ def anonymize_units(units: DataFrame, rules: Sequence[Rule] = (), rescan: bool =
     """Documents in units (doc_id, unit_no, markup, text), placeholders numbered through each document in unit order.
 
     The numbering is sequential by nature, so the units of one document meet in
-    one task; documents are dealt evenly.  Result: a row per unit with the new
-    text and, on the first unit, the document's counts and suggestions.
+    one task, in order; documents are dealt evenly, and a task holds one at a
+    time.  Result: a row per unit with the new text and, on the first unit, the
+    document's counts and suggestions.
     """
     kind = units.schema["doc_id"].dataType.simpleString()
+    fields = [f.split(" ")[0] for f in _fields()]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("unit_no", kind="stable")
+    def document(doc_id, rows: list[tuple]) -> list[tuple]:
         session = Session(rules, ner)
-        texts = [None if _text(t) is None else session.apply(t, _text(m)) for t, m in zip(rows["text"], rows["markup"], strict=True)]
-        whole = _summary(session, "\n".join(t for t in texts if t is not None), [], rescan)
-        empty = {f: [] for f in whole}
-        out = pd.DataFrame([whole if i == 0 else empty for i in range(len(rows))])
-        return out.assign(doc_id=rows["doc_id"].to_numpy(), unit_no=rows["unit_no"].to_numpy(), text=texts)[["doc_id", "unit_no", *out.columns]]
-
-    return units.select("doc_id", F.col("unit_no").cast("int"), "markup", "text").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, unit_no int, {RESULT}")
+        texts = [None if _text(t) is None else session.apply(t, _text(m)) for _, m, t in rows]
+        told = _summary(session, "\n".join(t for t in texts if t is not None), [], rescan)
+        return [(doc_id, n, text, *(told[f] if i == 0 else [] for f in fields[1:])) for i, ((n, _, _), text) in enumerate(zip(rows, texts, strict=True))]
+
+    def run(batches):
+        held: list[tuple] = []
+        of, out = None, []
+        for batch in batches:
+            for doc_id, *row in zip(batch["doc_id"].tolist(), batch["unit_no"].tolist(), batch["markup"], batch["text"], strict=True):
+                if held and doc_id != of:
+                    out += document(of, held)
+                    held = []
+                of = doc_id
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["doc_id", "unit_no", *fields])
+            out = []
+        if held:
+            yield pd.DataFrame(document(of, held), columns=["doc_id", "unit_no", *fields])
+
+    # ids travel as strings, which pandas keeps exact beside nulls
+    dealt = units.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("unit_no").cast("int").alias("unit_no"), "markup", "text").repartition("doc_id").sortWithinPartitions("doc_id", "unit_no")
+    return dealt.mapInPandas(run, f"doc_id string, unit_no int, {RESULT}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def register(spark, rules: Sequence[Rule] = ()) -> None:

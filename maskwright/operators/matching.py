@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 from typing import NamedTuple
 
 from ..functions import text as X
@@ -38,6 +39,7 @@ class Matcher:
         self.pattern = re.compile(X.rule_pattern(rule.source, rule.smart), 0 if rule.case_sensitive else re.I)
         self.source, self.target = rule.key(rule.source), rule.key(rule.target)
         self.window = min(8, max(1, len(X.words(rule.source)) + 3))
+        self.known = dict.fromkeys(map(ord, self.source))
         self.longest = max(len(self.source) + 6, int(len(self.source) * 1.45))
 
     def _edit(self, text: str, start: int, end: int, priority: int) -> Edit:
@@ -52,19 +54,28 @@ class Matcher:
         """(ratio, start, end) of the word windows at or above the threshold."""
         rule, size = self.rule, len(self.source)
         spans = [m.span() for m in V.WORD.finditer(text)]
-        keys = [X.squeeze(text[a:b], rule.case_sensitive) for a, b in spans]
+        keys = [text[a:b] for a, b in spans]
+        if not rule.case_sensitive:
+            keys = [k.casefold() for k in keys]
+        # characters of a word that the source has at all bound what can match
+        useful = [len(k) - len(k.translate(self.known)) for k in keys]
+        matcher = SequenceMatcher(None, "", self.source)
         for i, (start, _) in enumerate(spans):
-            joined = ""
+            length = shared = 0
             for j in range(i, min(len(spans), i + self.window)):
-                joined += keys[j]
-                if len(joined) > self.longest:
+                length += len(keys[j])
+                shared += useful[j]
+                if length > self.longest:
                     break
-                if joined == self.target or X.similarity_bound(len(joined), size) < rule.fuzzy_threshold:
+                if 2 * min(shared, size) < rule.fuzzy_threshold * (length + size) - 1e-9:
+                    continue
+                joined = "".join(keys[i : j + 1])
+                if joined == self.target:
                     continue
                 if structure.crosses(start, spans[j][1]):
                     break  # longer windows cross it as well
-                ratio = X.similarity(joined, self.source)
-                if ratio >= rule.fuzzy_threshold:
+                matcher.set_seq1(joined)
+                if matcher.quick_ratio() >= rule.fuzzy_threshold and (ratio := matcher.ratio()) >= rule.fuzzy_threshold:
                     yield ratio, start, spans[j][1]
 
     def fuzzy(self, text: str, structure: Structure | None = None) -> list[Edit]:

@@ -7,7 +7,9 @@ function of the document's units in their order, so retries change nothing.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
@@ -68,23 +70,39 @@ class Ner(NamedTuple):
 
 
 class _Origin:
-    """Where the characters of the current text came from."""
+    """Where the current text came from: what was put in, as (start, end, first, last) with the source's stretch."""
 
-    def __init__(self, n: int):
-        self.spans: list[tuple[int, int] | None] = [(i, i + 1) for i in range(n)]
+    def __init__(self) -> None:
+        self.put: list[tuple[int, int, int, int]] = []
+
+    def _place(self, at: int) -> tuple[int, int]:
+        """The source's stretch of one character."""
+        i = bisect_right(self.put, (at, math.inf)) - 1
+        if i < 0:
+            return at, at + 1
+        _, end, first, last = self.put[i]
+        return (first, last) if at < end else (at - end + last, at - end + last + 1)
 
     def of(self, e: Edit) -> tuple[int, int] | None:
-        found = [s for s in self.spans[e.start : e.end] if s]
-        return (min(a for a, _ in found), max(b for _, b in found)) if found else None
+        return (self._place(e.start)[0], self._place(e.end - 1)[1]) if e.end > e.start else None
 
     def advance(self, edits: Sequence[Edit]) -> None:
-        out: list[tuple[int, int] | None] = []
-        at = 0
+        """Edits in order; earlier ones that they cover are part of their stretch."""
+        new: list[tuple[int, int, int, int]] = []
+        shift, old = 0, iter([*self.put, (math.inf, math.inf, 0, 0)])
+        held = next(old)
         for e in edits:
-            out += self.spans[at : e.start]
-            out += [self.of(e)] * len(e.replacement)
-            at = e.end
-        self.spans = out + self.spans[at:]
+            while held[0] < e.start:
+                new.append((held[0] + shift, held[1] + shift, *held[2:]))
+                held = next(old)
+            while held[0] < e.end:
+                held = next(old)
+            new.append((e.start + shift, e.start + shift + len(e.replacement), *self.of(e)))
+            shift += len(e.replacement) - (e.end - e.start)
+        while held[0] != math.inf:
+            new.append((held[0] + shift, held[1] + shift, *held[2:]))
+            held = next(old)
+        self.put = new
 
 
 class Session:
@@ -167,7 +185,7 @@ class Session:
             stages.append(self._detected)
         if self.ner is not None:
             stages.append(self._entities)
-        origin = _Origin(len(text))
+        origin = _Origin()
         edits: list[Edit] = []
         for stage in stages:
             chosen = stage(text)

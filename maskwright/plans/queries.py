@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import columns as O
 from ..operators import relations as R
 from ..operators.matching import Rule
+from ..operators.physical import spread
 from ..operators.select import choose_column, splice_column
 from .pipeline import Options, reports
 
@@ -40,7 +41,7 @@ RULES = (Rule("token", "credential", fuzzy_threshold=0.0), Rule("MIT License", "
 @query()
 def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: whole documents anonymized under rules, with counts."""
-    out = O.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), RULES, rescan=False)
+    out = O.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), RULES, rescan=False)
     n = F.coalesce(F.aggregate("result.automatic", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
     return out.select("doc_id", F.col("result.text").alias("text"), F.array_join("result.matches", ",").alias("rule_matches"), n.alias("n_automatic"), F.size("result.suggestions").cast("long").alias("n_suggestions"))
 
@@ -48,27 +49,27 @@ def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detections of the documents as rows."""
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(O.detect_spans()("text")).alias("d"))
+    spans = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(O.detect_spans()("text")).alias("d"))
     return spans.select("doc_id", "d.kind", "d.value", "d.start", "d.end", "d.confidence", "d.reason", "d.automatic")
 
 
 @query()
 def detections_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select(F.explode(O.detect_spans()("text")).alias("d")).select("d.*")
+    found = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(O.detect_spans()("text")).alias("d")).select("d.*")
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
 
 
 @query()
 def anonymize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as units of one document, numbered through it."""
-    units = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_no"), F.lit(None).cast("string").alias("markup"), "text")
+    units = spread(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_no"), F.lit(None).cast("string").alias("markup"), "text")
     return O.anonymize_units(units, rescan=False).select("doc_id", "unit_no", "text")
 
 
 @query()
 def anonymize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML pages anonymized in their visible text and attributes, tags kept."""
-    out = O.anonymize(table(spark, sf_dir, "pages").select("page_id", "html"), (), text="html", markup="html", rescan=False)
+    out = O.anonymize(spread(table(spark, sf_dir, "pages").select("page_id", "html")), (), text="html", markup="html", rescan=False)
     return out.select("page_id", F.col("result.text").alias("html"))
 
 
@@ -86,7 +87,7 @@ def structure_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Safe JSON reports of whole documents."""
-    out = O.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), RULES)
+    out = O.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), RULES)
     rows = out.select(F.col("doc_id").cast("string").alias("path"), F.format_string("DOCUMENT-%06d", "doc_id").alias("label"), "result.*")
     return reports(rows, Options(RULES))
 
