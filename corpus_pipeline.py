@@ -18,6 +18,7 @@ from maskwright.llm.packing import pack
 from maskwright.llm.pii import replace_entities
 from maskwright.llm.quality_crf import keep_good
 from maskwright.llm.storage import keep
+from maskwright.operators.physical import spread
 
 
 def _known(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -78,7 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.physical import spread
 from .chat_format import render
 from .decontaminate import contamination
 from .html_extract import extract
@@ -19,7 +20,8 @@ from .secret_scan import ACCESS, ASSIGN, HEX, LEAST, PRIOR, secret_report, train
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table, dealt over all cores where its files are too few for them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
