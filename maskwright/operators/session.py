@@ -137,7 +137,7 @@ class Session:
     def is_protected(self, kind: str, value: str) -> bool:
         return X.is_safe(kind, value, self.safe_domains) or X.canonical("value", value) in self._protected
 
-    def _suggest(self, d: Detection) -> None:
+    def suggest(self, d: Detection) -> None:
         target = self.placeholder(d.placeholder_kind, d.value)
         self._suggested.setdefault((d.kind, X.canonical(d.kind, d.value)), suggestion(d, target))
 
@@ -161,7 +161,7 @@ class Session:
         chosen = choose(edits).selected
         for d in waiting:
             if all(d.end <= e.start or e.end <= d.start for e in chosen):
-                self._suggest(d)
+                self.suggest(d)
         self.automatic.update(e.kind for e in chosen)
         return chosen
 
