@@ -56,7 +56,7 @@ _NUMBERS = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}([ .\-])\d{1,4}(?:\4\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}([.\-])\d{3}\5\d{4}(?![\w\-]))"
-    r"|(?P<card>(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))",
+    r"|(?P<card>(?<![\w\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ \-])\d{6}\8\d{5})(?![\w\-]))",
     re.ASCII,
 )
 _DIGIT = re.compile(r"[0-9]")
