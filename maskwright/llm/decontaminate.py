@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import keep, small_batches
+from .storage import keep, released, small_batches
 from .tokens import Words, groups
 
 WINDOW = 13
@@ -89,7 +89,7 @@ def _index_rows(segment_words: int):
 def build_index(docs: DataFrame, id_col: str = "doc_id", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The stored index of all ``docs``, whole texts."""
     small_batches(docs.sparkSession)
-    return keep(docs.select(F.col(id_col).cast("long"), F.col("text")).mapInArrow(_index_rows(segment_words), INDEX), "positional-index")
+    return keep(docs.select(F.col(id_col).cast("long"), F.col("text")).mapInArrow(released(_index_rows(segment_words)), INDEX), "positional-index")
 
 
 class Windows:
@@ -221,7 +221,7 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
                     ["segment", "doc_no", "doc_id", "n_words", "starts", "ends", "items"],
                 )
 
-    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(run, _FOUND)
+    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(released(run), _FOUND)
 
 
 def proximity_search(index: DataFrame, phrases: list[str], span: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep, small_batches
+from .storage import keep, released, small_batches
 from .tokens import Words, groups, mix, stream
 
 SIZE = 5
@@ -222,9 +222,11 @@ def _verify(threshold: float):
                 for i in np.flatnonzero(linked.any(1)):
                     others = np.flatnonzero(linked[i])
                     low = min((v for v in (ids[a + used[j]] for j in others) if v is not None), default=None)
-                    out.append((cls[a + used[i]], int(copies[a:b][used[others]].sum()), low, cls[a + used[root[i]]]))
+                    top = a + used[root[i]]
+                    out.append((cls[a + used[i]], int(copies[a:b][used[others]].sum()), low, ids[a + used[i]], ids[top], cls[top]))
             if out:
-                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["cls", "links", "low", "root"])
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["cls", "links", "low", "id", "root_id", "root_cls"])
 
     return run
 
@@ -241,7 +243,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, root) of every vertex of ``edges`` (cls, root): root becomes the smallest connected one.
+    """(cls, root) of every vertex of ``edges`` (cls, root), any kind that has an order: root becomes the smallest connected one.
 
     Labels are the smallest among a vertex, its neighbours and their labels'
     labels; every round is written, so the lineage stays short.
@@ -265,30 +267,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, t
     small_batches(docs.sparkSession)
     n_bands, n_rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    signed = keep(texts.mapInArrow(_sign(size, n_bands, n_rows), "doc_id long, cls binary, n int, bands array<long>"), "signatures")
+    signed = keep(texts.mapInArrow(released(_sign(size, n_bands, n_rows)), "doc_id long, cls binary, n int, bands array<long>"), "signatures")
     classes = keep(
         signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     places = classes.select("cls", "n", F.posexplode("bands").alias("band", "h"))
     shared = places.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter("c > 1")
-    members = keep(places.drop("n").join(shared, ["band", "h"]), "bucket-members")
+    members = places.drop("n").join(shared, ["band", "h"])
     scan = _blocks(members.join(classes.select("cls", "bands"), "cls"), F.ceil(F.col("c") / SCAN_BLOCK)).select(*_KEYS, "side", "cls", "bands")
-    wanted = _dealt(scan).mapInArrow(_scan, "band int, h long, cls binary").distinct()
+    wanted = _dealt(scan).mapInArrow(released(_scan), "band int, h long, cls binary").distinct()
     wanted = keep(wanted.join(shared, ["band", "h"]), "bucket-pairs")
     needed = wanted.select("cls").distinct()
     chosen = classes.select("cls", "class_id").join(needed, "cls").select(F.coalesce("class_id", F.lit(0)).alias("doc_id"), F.col("class_id").isNull().alias("unnamed")).distinct()
     # only texts that stand for a class with possible links are read into n-gram sets
     known = texts.withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    found = known.join(chosen, ["doc_id", "unnamed"], "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "cls binary, grams binary")
-    sets = keep(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
+    # the ids are the hashed side: texts stream past them and need not be sorted
+    found = known.join(chosen.hint("shuffle_hash"), ["doc_id", "unnamed"], "left_semi").select("doc_id", "text").mapInArrow(released(_sets(size)), "cls binary, grams binary")
+    sets = found.join(needed, "cls", "left_semi").dropDuplicates(["cls"])
     n_blocks = F.greatest(F.ceil(F.col("c") / VERIFY_BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS))
     verify = _blocks(wanted.join(classes.join(sets, "cls"), "cls"), n_blocks).select(*_KEYS, "side", "cls", "class_id", "copies", "n", "bands", "grams")
-    links = keep(_dealt(verify).mapInArrow(_verify(threshold), "cls binary, links long, low long, root binary"), "links")
-    roots = components(links.filter(F.col("cls") != F.col("root")))
+    links = keep(_dealt(verify).mapInArrow(released(_verify(threshold)), "cls binary, links long, low long, id long, root_id long, root_cls binary"), "links")
+    # a vertex carries its class's id in front, so the smallest label tells the group's id itself
+    vertex = lambda id_, cls: F.struct(F.col(id_).isNull().alias("unnamed"), F.col(id_).alias("id"), F.col(cls).alias("cls"))
+    edges = links.filter(F.col("cls") != F.col("root_cls")).select(vertex("id", "cls").alias("cls"), vertex("root_id", "root_cls").alias("root"))
+    roots = components(edges).select(F.col("cls.cls").alias("cls"), F.col("root.id").alias("group_id"))
     info = classes.select("cls", "class_id", "copies").join(links.groupBy("cls").agg(F.sum("links").alias("links"), F.min("low").alias("low")), "cls", "left").join(roots, "cls", "left")
-    info = info.withColumn("root", F.coalesce("root", "cls"))
-    group = info.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    info = keep(info.join(group, "root").select("cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "low", "group_id"), "class-info")
+    info = info.select("cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "low", F.coalesce("group_id", "class_id").alias("group_id"))
     linked = signed.filter("n > 0").select("doc_id", "cls").join(info, "cls").select("doc_id", "class_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"), F.col("low").alias("link_id"), "group_id")
     alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("link_id"), F.col("doc_id").alias("group_id"))
     return linked.unionByName(alone)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep, small_batches
+from .storage import keep, released, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -168,7 +168,7 @@ def merge_bins(items: DataFrame, capacity: int, slack: int, group_bins: int) ->
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, group_bins: int = GROUP_BINS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack_partition(tokenizer_path or default_tokenizer(), capacity, end_id), _PIECES)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_pack_partition(tokenizer_path or default_tokenizer(), capacity, end_id)), _PIECES)
     pieces = keep(rows, "packing-pieces")
     # the item at offset 0 stands for its bin
     items = pieces.filter((F.col("fill") < capacity - slack) & (F.col("offset") == 0)).select("bin", "fill")

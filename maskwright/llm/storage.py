@@ -8,10 +8,14 @@ lineage: a lost executor costs the tasks it ran, never the stages before.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -25,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Limits the session's Arrow batches, which bound what a Python worker holds, to ``limit`` bytes."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.match(r"(\d+)([kmg]?)", spark.conf.get(name, "1g").lower())
@@ -33,6 +37,18 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
         spark.conf.set(name, str(limit))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over Arrow batches, which at its end gives freed memory back, as the worker may stay for other tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again; removed when Python ends."""
     spark = df.sparkSession

@@ -134,7 +134,7 @@ class Words:
         return out, bounds
 
 
-def groups(sizes: Sequence[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(sizes: Sequence[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters; a longer text stands alone."""
     at, held = 0, 0
     for i, n in enumerate(sizes):
