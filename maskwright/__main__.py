@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from .functions import vocabulary as V
-from .plans.pipeline import Options, Refused, run_file
+from .plans.pipeline import Options, Refused, run_file, run_images
+from .sources.models import NerSpec
 from .sources.rules import load_rules
 
 
@@ -16,21 +17,37 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("maskwright")
     p.add_argument("input")
     p.add_argument("-o", "--output")
-    p.add_argument("--format", choices=("markdown", "text"), default="markdown")
+    p.add_argument("--format", choices=("markdown", "text", "images"), default="markdown")
     p.add_argument("--replace", action="append", default=[], metavar="SOURCE=TARGET")
     p.add_argument("--rules", help="a JSON file of rules")
     p.add_argument("--report")
     p.add_argument("--document-label")
     p.add_argument("--fuzzy-threshold", type=float, default=V.FUZZY_THRESHOLD)
-    for flag in ("case-sensitive", "exact", "no-fuzzy", "no-preserve-case", "unsafe-report", "require-all-rules", "strict-pii", "no-suggest-pii", "allow-zero-replacements"):
+    p.add_argument("--ner-model")
+    p.add_argument("--ner-language", default="es")
+    p.add_argument("--ner-threshold", type=float, default=0.85)
+    p.add_argument("--dpi", type=int, default=220)
+    p.add_argument("--min-ocr-conf", type=float, default=45)
+    p.add_argument("--ocr-lang", default="eng+spa")
+    p.add_argument("--image-fill", default="#ffffff")
+    p.add_argument("--image-text", default="#111111")
+    p.add_argument("--redact-header", type=float, default=0)
+    p.add_argument("--header-text", default="REDACTED")
+    p.add_argument("--redact-region", action="append", default=[], metavar="X,Y,W,H[=LABEL]")
+    for flag in ("enable-ner", "suggest-only-ner", "force-ocr", "quiet", "case-sensitive", "exact", "no-fuzzy", "no-preserve-case", "unsafe-report", "require-all-rules", "strict-pii", "no-suggest-pii", "allow-zero-replacements"):
         p.add_argument(f"--{flag}", action="store_true")
     a = p.parse_args(argv)
     try:
         text = open(a.rules, encoding="utf-8").read() if a.rules else None
         rules = load_rules(a.replace, text, case_sensitive=a.case_sensitive, smart=not a.exact, preserve_case=not a.no_preserve_case, fuzzy_threshold=0.0 if a.no_fuzzy else a.fuzzy_threshold)
-        options = Options(tuple(rules), a.require_all_rules, a.strict_pii, a.allow_zero_replacements, not a.no_suggest_pii, not a.unsafe_report, a.document_label)
+        options = Options(tuple(rules), a.require_all_rules, a.strict_pii, a.allow_zero_replacements, not a.no_suggest_pii, not a.unsafe_report, a.document_label, NerSpec(a.ner_model, a.ner_language, a.ner_threshold, a.suggest_only_ner) if a.enable_ner else None)
         spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
-        print(run_file(spark, a.input, a.output, a.report, options, ".md" if a.format == "markdown" else ".txt"))
+        if a.format == "images":
+            how = dict(dpi=a.dpi, least=a.min_ocr_conf, language=a.ocr_lang, force_ocr=a.force_ocr, fill=a.image_fill, ink=a.image_text, header=a.redact_header, header_text=a.header_text, regions=a.redact_region)
+            print(*run_images(spark, a.input, a.output, a.report, options, **how), sep="\n")
+        else:
+            tell = (lambda text: None) if a.quiet else (lambda text: print(text, file=sys.stderr))
+            print(run_file(spark, a.input, a.output, a.report, options, ".md" if a.format == "markdown" else ".txt", tell))
     except (ValueError, Refused, OSError) as e:
         print(f"maskwright: {e}", file=sys.stderr)
         return 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from ..functions import vocabulary as V
 from ..operators.matching import Rule
 from ..operators.relations import gate
 from ..sources.files import anonymize_files, read_files
+from ..sources.models import NerSpec
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class Options:
     rescan: bool = True
     safe_report: bool = True
     label: str | None = None
+    ner: NerSpec | None = None
 
     def __post_init__(self) -> None:
         for rule in self.rules:
@@ -88,13 +90,14 @@ def reports(results: DataFrame, options: Options) -> DataFrame:
     safe = lambda s: F.struct(s["kind"].alias("kind"), F.lit(1).alias("matches"), s["target"].alias("replacement"), F.lit("suggestion").alias("status"), F.round(s["confidence"], 4).alias("confidence"), s["source"].alias("source"))
     known = {k: X.first_placeholder(k) for k in V.PRIORITY}
     form = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    ner = options.ner.report() if options.ner else {"enabled": False}
     report = F.struct(
         F.col("label").alias("document_label"),
         (F.array(*rules) if rules else F.array().cast("array<string>")).alias("rules"),
         F.coalesce(F.aggregate("matches", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("total_rule_matches"),
         F.transform("automatic", lambda a: F.struct(a["kind"].alias("kind"), a["n"].alias("matches"), form[a["kind"]].alias("replacement"), F.lit("replaced").alias("status"))).alias("automatic"),
         F.transform("events", lambda e: F.struct(e["absorbed_rule"].alias("absorbed_rule"), e["winner"].alias("winner"), F.lit("overlapping longer span").alias("reason"))).alias("overlap_events"),
-        F.lit(0).alias("visual_redactions"), F.lit(False).alias("visual_review_required"), F.struct(F.lit(False).alias("enabled")).alias("ner"),
+        F.lit(0).alias("visual_redactions"), F.lit(False).alias("visual_review_required"), F.struct(*(F.lit(v).alias(k) for k, v in ner.items())).alias("ner"),
         (F.transform("suggestions", safe) if options.safe_report else F.col("suggestions")).alias("suggestions"),
     )
     return results.select("path", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
@@ -107,7 +110,7 @@ def run_corpus(spark: SparkSession, source: str, output: str, report: str | None
     """
     check_paths(source, [output], report)
     staged = f"{output.rstrip('/')}.staged"
-    gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan), options).write.mode("overwrite").parquet(staged)
+    gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan, options.ner), options).write.mode("overwrite").parquet(staged)
     done = spark.read.parquet(staged)
     done.filter("status = 'passed'").select("path", "label", "text").write.parquet(output)
     if report is not None:
@@ -115,12 +118,43 @@ def run_corpus(spark: SparkSession, source: str, output: str, report: str | None
     return done.select("path", "status", "problems")
 
 
-def run_file(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), suffix: str = ".md") -> str:
+def shown(suggestions: Sequence) -> list[str]:
+    """The first suggestions as lines, without the values found."""
+    lines = [f"  - {s.kind} #{i}: suggest '{s.target}' (confidence={s.confidence:.2f}; {s.reason})" for i, s in enumerate(suggestions[: V.SHOWN_SUGGESTIONS], 1)]
+    more = len(suggestions) - len(lines)
+    return [*lines, f"  ... and {more} more suggestions"] if more else lines
+
+
+def run_images(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), **how) -> list[str]:
+    """Redacts one local PDF file or image to PNG files in a directory; their paths are checked before any page is drawn."""
+    from ..sources.images import redact_files
+
+    folder = output or os.path.join(os.path.dirname(source), "document.masked-images")
+    check_paths(source, [folder], report)
+    rows = redact_files(read_files(spark, source), options.rules, options.label, **how).collect()
+    problems = [r.error for r in rows if r.error] or (["zero replacements/redactions matched"] if not options.allow_zero and not any(r.n_redactions for r in rows) else [])
+    if problems:
+        raise Refused("; ".join(problems))
+    paths = [os.path.join(folder, r.name) for r in rows]
+    check_paths(source, paths, report)
+    os.makedirs(folder, exist_ok=True)
+    for path, r in zip(paths, rows, strict=True):
+        with open(path, "wb") as f:
+            f.write(r.png)
+    if report is not None:
+        with open(report, "w", encoding="utf-8") as f:
+            json.dump({"document_label": X.document_label(options.label), "visual_redactions": sum(r.n_redactions for r in rows), "visual_review_required": True}, f, indent=2)
+    return paths
+
+
+def run_file(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), suffix: str = ".md", tell: Callable[[str], None] = lambda _: None) -> str:
     """Anonymizes one local file to a text file, or raises Refused with nothing written."""
     target = text_output(source, output, suffix)
     check_paths(source, [target], report)
-    results = anonymize_files(read_files(spark, source), options.rules, X.document_label(options.label), options.rescan)
+    results = anonymize_files(read_files(spark, source), options.rules, X.document_label(options.label), options.rescan, options.ner)
     row = gated(results, options).first()
+    if row.suggestions:
+        tell("\n".join(["possible sensitive values still present:", *shown(row.suggestions)]))
     if row.status != "passed":
         raise Refused("; ".join(row.problems))
     written = reports(spark.createDataFrame([row], gated(results, options).schema), options).first().report if report is not None else None

@@ -17,6 +17,7 @@ from ..functions import vocabulary as V
 from ..operators.columns import RESULT, _summary
 from ..operators.matching import Rule
 from ..operators.session import Session
+from .models import NerSpec
 from .office import Docx, Xlsx
 from .tables import table
 
@@ -86,7 +87,7 @@ def read_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return reader.load(path if isinstance(path, str) else list(path)).select("path", "content")
 
 
-def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, rescan: bool = True) -> DataFrame:
+def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, rescan: bool = True, ner: NerSpec | None = None) -> DataFrame:
     """``files`` (path, content) as path, label, text, counts, suggestions and error.
 
     A file that cannot be read has an error and no text; it never passes a gate.
@@ -98,7 +99,7 @@ def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | N
         for batch in batches:
             out = []
             for path, content, name in zip(batch["path"], batch["content"], batch["label"], strict=True):
-                session, text, error = Session(rules), None, None
+                session, text, error = Session(rules, ner.open() if ner else None), None, None
                 try:
                     text = render(content, suffix_of(path), session, name)
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job; the type says no content

@@ -7,6 +7,9 @@ import os
 import time
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from functools import lru_cache
+
+from ..operators.session import Ner
 
 
 @dataclass
@@ -56,3 +59,28 @@ def load_model(path: str | None = None, language: str = "es"):
             yield e.label_, e.start_char, e.end_char, score if score is not None else getattr(e._, "confidence", None)
 
     return model, told
+
+
+@dataclass(frozen=True)
+class NerSpec:
+    """Which model a job uses; every Python worker loads it once, at its first document."""
+
+    path: str | None = None
+    language: str = "es"
+    threshold: float = 0.85
+    suggest_only: bool = False
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.threshold <= 1:
+            raise ValueError("the threshold of a model is between 0 and 1")
+
+    def open(self) -> Ner | None:
+        """The model, or None where it cannot be had: then the detectors work alone."""
+        model, _ = _loaded(self.path, self.language)
+        return Ner(model, self.threshold, self.suggest_only) if model else None
+
+    def report(self) -> dict[str, object]:
+        return _loaded(self.path, self.language)[1].report() | {"threshold": self.threshold, "suggest_only": self.suggest_only}
+
+
+_loaded = lru_cache(maxsize=4)(load_model)

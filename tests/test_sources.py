@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import columns as O
 from maskwright.operators.matching import Rule
-from maskwright.operators.session import Session
-from maskwright.plans.pipeline import Options, Refused, check_paths, run_corpus, run_file, text_output
+from maskwright.__main__ import main
+from maskwright.operators.session import Session, Suggestion
+from maskwright.plans.pipeline import Options, Refused, check_paths, run_corpus, run_file, shown, text_output
 from maskwright.sources.files import Unsupported, render
 from maskwright.sources.office import Xlsx
 from maskwright.sources.rules import load_rules, parse_json, parse_rule
@@ -120,6 +121,16 @@ def test_fail_closed(spark, tmp_path):
         Options((Rule("a", "b", fuzzy_threshold=2.0),))
 
 
+def test_command_line(spark, tmp_path, capsys):
+    source = tmp_path / "in.md"
+    source.write_text("**Acme S.A.** y otro", encoding="utf-8")
+    assert main([str(source), "-o", str(tmp_path / "out.md"), "--replace", "Acme SA=Demo Company", "--enable-ner", "--ner-model", "https://example.invalid/m", "--report", str(tmp_path / "r.json")]) == 0
+    assert "Demo Company" in (tmp_path / "out.md").read_text() and json.loads((tmp_path / "r.json").read_text())["ner"]["error"] == "remote model paths are disabled"
+    assert main([str(source), "-o", str(source)]) == 2 and main([str(source), "--format", "images"]) == 2
+    assert main([str(source), "--replace", "no equals sign"]) == 2
+    assert shown([Suggestion("email", "v", "t", "r", 0.5)] * 22)[-1] == "  ... and 2 more suggestions"
+
+
 def test_paths(tmp_path):
     a = tmp_path / "a.txt"
     a.write_text("x")
