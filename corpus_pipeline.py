@@ -39,7 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known, row = _known(docs)
     found = keep(near_duplicates(known, row).select("doc_id", "group_id"), "groups")
     dropped = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(row)).distinct()
-    # ids are the hashed side of these joins: texts stream past them and need not be sorted
+    # ids are the hashed side: texts stream past them and need not be sorted
     kept = known.join(dropped.hint("shuffle_hash"), row, "left_anti")
     repeated = keep(found.filter(F.col("doc_id") == F.col("group_id")).groupBy(F.col("doc_id").alias(row)).count().filter("count > 1").select(row), "repeated")
     if repeated.take(1):
@@ -53,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     known, row = _known(docs)
     found = contamination(known, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
     dropped = keep(found.filter("contaminated").select(F.col("doc_id").alias(row)).distinct(), "contaminated")
-    return known.join(dropped.hint("shuffle_hash"), row, "left_anti").select(docs.columns)
+    return known.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,11 +288,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, t
     verify = _blocks(wanted.join(classes.join(sets, "cls"), "cls"), n_blocks).select(*_KEYS, "side", "cls", "class_id", "copies", "n", "bands", "grams")
     links = keep(_dealt(verify).mapInArrow(released(_verify(threshold)), "cls binary, links long, low long, id long, root_id long, root_cls binary"), "links")
     # a vertex carries its class's id in front, so the smallest label tells the group's id itself
-    vertex = lambda id_, cls: F.struct(F.col(id_).isNull().alias("unnamed"), F.col(id_).alias("id"), F.col(cls).alias("cls"))
+    vertex = lambda id_, cls: F.struct(F.col(id_).isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"), F.col(cls).alias("cls"))
     edges = links.filter(F.col("cls") != F.col("root_cls")).select(vertex("id", "cls").alias("cls"), vertex("root_id", "root_cls").alias("root"))
-    roots = components(edges).select(F.col("cls.cls").alias("cls"), F.col("root.id").alias("group_id"))
+    roots = components(edges).select(F.col("cls.cls").alias("cls"), F.when(~F.col("root.unnamed"), F.col("root.id")).alias("group_id"))
     info = classes.select("cls", "class_id", "copies").join(links.groupBy("cls").agg(F.sum("links").alias("links"), F.min("low").alias("low")), "cls", "left").join(roots, "cls", "left")
-    info = info.select("cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "low", F.coalesce("group_id", "class_id").alias("group_id"))
+    # written, so that the last join can split a class with a third of all rows
+    info = keep(info.select("cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "low", F.coalesce("group_id", "class_id").alias("group_id")), "class-info")
     linked = signed.filter("n > 0").select("doc_id", "cls").join(info, "cls").select("doc_id", "class_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"), F.col("low").alias("link_id"), "group_id")
     alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("link_id"), F.col("doc_id").alias("group_id"))
     return linked.unionByName(alone)
