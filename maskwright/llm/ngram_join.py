@@ -254,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         far = both.select("cls", F.col("root").alias("by")).join(label.select(F.col("cls").alias("by"), F.col("root").alias("reach")), "by")
         near = far.groupBy("cls").agg(F.min("reach").alias("reach"))
-        step = label.join(near, "cls").select("cls", F.col("root").alias("was"), F.least("root", "reach").alias("root"))
+        # written, so that the join on a label that very many share can be split
+        step = keep(label.join(near, "cls").select("cls", F.col("root").alias("was"), F.least("root", "reach").alias("root")), "link-labels")
         jump = step.select(F.col("cls").alias("root"), F.col("root").alias("beyond"))
         step = keep(step.join(jump, "root", "left").select("cls", "was", F.least("root", F.coalesce("beyond", "root")).alias("root")), "link-labels")
         label = step.select("cls", "root")
