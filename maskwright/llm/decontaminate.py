@@ -36,7 +36,7 @@ from .tokens import Words, groups
 
 WINDOW = 13
 SEGMENT_WORDS = 1 << 20
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 2 << 20
 #: Places left free between documents; no phrase or proximity span may be longer.
 GAP = 256
 
@@ -180,7 +180,7 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
     """Per document: the merged word ranges inside any window, and the items found there."""
     windows = Windows(items, size)
     frequency = term_counts(index, windows.terms)
-    ranks = {n: np.argsort(frequency[_lookup(windows.terms, rows)], axis=1, kind="stable") for n, (rows, _) in windows.by_length.items()}
+    ranks = {n: np.argsort(frequency[_lookup(windows.terms, rows)], axis=1, kind="stable").astype(np.int32) for n, (rows, _) in windows.by_length.items()}
     sent = index.sparkSession.sparkContext.broadcast((windows, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
