@@ -112,6 +112,20 @@ def test_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_chooses_inside_main_elements(spark):
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    block = "<div class='box'><p>Get our weekly letter</p></div>"
+    pages = [(i, "http://m.example/", f"<main>{menu}<h1>Title {i}</h1><p>story {i} with <a href=z>a link</a></p><ol><li>point <a href=q>{i}</a></li><li>end {i}</li></ol>{block}</main>") for i in range(6)]
+    # all copies of one text: nothing around a slot varies, so nothing is ruled out
+    pages += [(10 + i, "http://n.example/", f"<nav>{i}</nav><article><h1>Same</h1><p>same text</p></article>") for i in range(4)]
+    # a part that few pages have is no part of the template
+    pages += [(20 + i, "http://o.example/", f"<article><p>text {i}</p>{'<blockquote>quoted</blockquote>' * (i < 3)}</article>") for i in range(9)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(text[i] == f"Title {i}\nstory {i} with a link\npoint {i}\nend {i}" for i in range(6))
+    assert all(text[10 + i] == "Same\nsame text" for i in range(4))
+    assert [text[20 + i] for i in range(9)] == [f"text {i}" + "\nquoted" * (i < 3) for i in range(9)]
+
+
 def test_pipeline_stages(spark, odd, none, labels, bench, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
