@@ -268,6 +268,21 @@ def test_wrappers():
     assert read("<p>a<p>b")[0] == ["p", "#", "p", "#"]
 
 
+def test_no_page_is_left_out_of_a_long_wrapper(monkeypatch):
+    monkeypatch.setattr("maskwright.llm.html_extract.MOST_ITEMS", 40)
+    menu = "<div><ul>" + "<li><a>x</a></li>" * 3 + "</ul></div>"
+    long = "".join(f"<p class='c{i}'>t</p>" for i in range(20))
+    one, two = Wrapper(), Wrapper()
+    one.add(long)  # 60 items
+    one.add("".join(f"<p class='d{i}'>t</p>" for i in range(12)))
+    two.add("".join(f"<p class='e{i}'>t</p>" for i in range(13)) + menu)
+    two.add(long + menu.replace("li", "dd"))
+    for a, b in ((one, two), (two, one)):
+        merged = Wrapper.load(a.dump())
+        merged.merge(Wrapper.load(b.dump()))
+        assert merged.links() == {"li", "dd"} and "div ul li a" in merged.boilerplate()
+
+
 @pytest.mark.parametrize("page", ["<", "<a href='x>y", "<script>never closed <p>", "<!-- open <p>x", "a < b > c", "</p></p><p", "<p a=\"1\" b='2>3'>x</p>"])
 def test_broken_pages(page):
     read(page)
