@@ -161,6 +161,9 @@ def _scan(notices: list[tuple[str, str]], threshold: float):
                     size = window_for(len(known.sets[k]))
                     first, last = (int(np.searchsorted(bounds, p, "right")) - 1 for p in (start, min(start + size, len(grams)) - 1))
                     pairs |= {(d, k) for d in range(first, last + 1)}
+                # no window fits into a group of fewer shingles: its few texts are verified for every such notice
+                short = [k for k, s in enumerate(known.sets) if len(grams) < window_for(len(s))]
+                pairs |= {(int(d), k) for d in np.flatnonzero(np.diff(bounds)) for k in short}
                 for d, k in pairs:
                     for a, b in known.occurrences(grams[bounds[d] : bounds[d + 1]], k, threshold):
                         found[d][known.names[k], a, b + SIZE] = None

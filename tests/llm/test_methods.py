@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from maskwright.llm import decontaminate as D
 from maskwright.llm import pii, quality_crf, quality_rules, secret_scan
 from maskwright.llm.html_extract import Wrapper, align, expression, fold, read
-from maskwright.llm.license_scan import NOTICES, license_report
+from maskwright.llm.license_scan import NOTICES, _scan, license_report
 from maskwright.llm.ngram_join import choose_bands, near_duplicates
 from maskwright.llm.packing import best_fit, cuts, default_tokenizer, encoder, pack
 from maskwright.llm.tokens import Words
@@ -162,6 +163,14 @@ def test_licenses(spark):
     assert "GPL-3.0-or-later" in rows[n + 2].licenses
 
 
+@pytest.mark.parametrize("k", range(len(NOTICES)))
+def test_license_in_a_text_alone_in_its_group(k):
+    name, text = NOTICES[k]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([text, ""])], ["doc_id", "text"])
+    first, empty = next(_scan(NOTICES, 0.8)(iter([batch]))).column("found").to_pylist()
+    assert (name, 0, len(words(text))) in [(f["license"], f["first_word"], f["end_word"]) for f in first] and empty == []
+
+
 BASE = (("assign", re.compile(secret_scan.ASSIGN)), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+")))
 
 
