@@ -7,7 +7,7 @@ quality is the mean of these, weighted by line length and then mapped by a
 monotone logistic curve that puts the best cut on the training rows at 0.7.
 
 Training takes at most ``max_docs`` labelled documents (by hash order of their
-ids), whole texts; a document's label stands for its lines at first, and lines
+ids, one row for each id), whole texts; a document's label stands for its lines at first, and lines
 of bad documents that look good are relabelled once.  Scores depend on the text
 alone.  Null and empty texts are scored as one empty line; repeated rows get
 equal scores; other columns are left as they are.  If the labels hold a single
@@ -219,8 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(_feature_rows, "doc_id long, quality int, f binary, length binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.f))[:max_docs]
+    # of rows that share an id one stands for all, by hash of the text
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    rows = chosen.select("doc_id", "quality", "row.text").mapInArrow(_feature_rows, "doc_id long, quality int, f binary, length binary").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.f))
     if not rows:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(1, int), np.zeros(0, int))
     length = [np.frombuffer(r.length, np.float32) for r in rows]

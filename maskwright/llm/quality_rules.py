@@ -6,7 +6,7 @@ sample one rule after the other: a rule grows, threshold by threshold, on two
 thirds of the sample by information gain, is pruned on the last third, and
 stays if it is precise enough on all.  ``verdict`` writes the list as one
 ordered CASE expression.  The sample is at most ``max_docs`` labelled documents
-by hash order of their ids; only their statistics reach the driver.
+by hash order of their ids, one row for each id; only their statistics reach the driver.
 
 Null and empty texts have no words and fail the base rules; so do texts of
 fewer than 50 words, or with more than half of the words in repeated windows.
@@ -138,11 +138,12 @@ def verdict(rules: list[Rule]) -> str:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[Rule]:
     """The list learned from at most ``max_docs`` labelled documents that pass the base rules."""
     sample = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # of rows that share an id one stands for all, by hash of the text
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")).select("doc_id", "row.text")
     stats = statistics(chosen).join(F.broadcast(sample), "doc_id").filter(~base_failed())
     found = stats.select("doc_id", "quality", *(F.expr(e).alias(m) for m, e in MEASURES.items())).collect()
     found.sort(key=lambda r: tuple(r))
-    return learn([({m: r[m] for m in MEASURES}, 1 - r.quality) for r in found[:max_docs]])
+    return learn([({m: r[m] for m in MEASURES}, 1 - r.quality) for r in found])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

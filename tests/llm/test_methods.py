@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from maskwright.llm import decontaminate as D
 from maskwright.llm import pii, quality_crf, quality_rules, secret_scan
@@ -241,6 +243,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.predicted for r in rows if r.quality)
 
 
+def test_training_on_an_id_of_many_rows(spark, monkeypatch):
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:12]
+    docs = [(free[0], f"good words in a line {i} " * 20) for i in range(60)] + [(i, "### ||| !!! $$$ " * 20 + str(i)) for i in free[1:]]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i == free[0])) for i in free], "doc_id long, quality int")
+    assert quality_crf.train(docs, labels, max_docs=20).constant is None
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda rows: seen.extend(bad for _, bad in rows) or [])
+    monkeypatch.setattr(quality_rules, "base_failed", lambda: F.lit(False))
+    quality_rules.train(docs, labels, max_docs=20)
+    assert sorted(seen) == [0] + [1] * 11
+
+
 def test_surrogates():
     m = pii.Surrogates("k")
     values = {tuple(m.permute("x", list(v), [3, 4, 2])) for v in np.ndindex(3, 4, 2)}
