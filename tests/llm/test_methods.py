@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import decontaminate as D
 from maskwright.llm import pii, quality_crf, quality_rules, secret_scan
-from maskwright.llm.html_extract import Wrapper, align, expression, fold, read
+from maskwright.llm.html_extract import Wrapper, align, expression, fold, main_text, read
 from maskwright.llm.license_scan import NOTICES, _scan, license_report
 from maskwright.llm.ngram_join import choose_bands, near_duplicates
 from maskwright.llm.packing import best_fit, cuts, default_tokenizer, encoder, pack
@@ -307,6 +307,12 @@ def test_no_page_is_left_out_of_a_long_wrapper(monkeypatch):
         assert merged.links() == {"li", "dd"} and "div ul li a" in merged.boilerplate()
 
 
+def test_classes_of_whole_pages():
+    for page in ('<body class="has-sidebar"><p>x</p></body>', '<html class="no-banner"><p>x</p>', '<article class="post comments-open"><p>x</p><div class="comments">y</div></article>', '<main id="search"><p>x</p></main>'):
+        assert main_text(page) == "x"
+    assert main_text("<article hidden><p>x</p></article>") == main_text('<div class="banner">x</div>') == ""
+
+
 @pytest.mark.parametrize("page", ["<", "<a href='x>y", "<script>never closed <p>", "<!-- open <p>x", "a < b > c", "</p></p><p", "<p a=\"1\" b='2>3'>x</p>"])
 def test_broken_pages(page):
     read(page)
