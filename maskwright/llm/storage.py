@@ -58,6 +58,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_side(ids: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
+    """``ids``, a written table, marked as the hashed side of a join where its counted size allows it.
+
+    Texts then stream past it and are not sorted.  Up to ``most`` bytes it is
+    broadcast; up to ``most`` bytes a partition each task hashes its own share;
+    beyond that the choice is Spark's.
+    """
+    size = ids.count() * row_bytes
+    if size <= most:
+        return ids.hint("broadcast")
+    partitions = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.hint("shuffle_hash") if size <= most * partitions else ids
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.llm import decontaminate as D
-from maskwright.llm import pii, quality_crf, quality_rules, secret_scan
+from maskwright.llm import ngram_join, pii, quality_crf, quality_rules, secret_scan, storage
 from maskwright.llm.html_extract import Wrapper, align, expression, fold, main_text, read
 from maskwright.llm.license_scan import NOTICES, _scan, license_report
 from maskwright.llm.ngram_join import choose_bands, near_duplicates
@@ -52,7 +52,10 @@ def test_words_longer_than_a_window():
     assert w.counts.tolist() == [1, 2, 1] and w.hashes[0] == w.hashes[1] != w.hashes[3]
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize(("large", "block"), [(128, 1024), (8, 16)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, large, block):
+    monkeypatch.setattr(ngram_join, "LARGE", large)  # the lower ones: families, in several blocks
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(3)
     base = [[rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(rng.randrange(3, 60))] for _ in range(40)]
     texts = []
@@ -62,7 +65,9 @@ def test_near_duplicates_against_all_pairs(spark):
             for _ in range(rng.randrange(0, 3)):
                 c[rng.randrange(len(c))] = "new" + str(rng.randrange(9))
             texts.append(" ".join(c))
-    # a large bucket, dealt in several blocks
+    # a family of near copies, and one of texts that share a passage only
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts += [shared + " " + " ".join(f"q{i}x{k}" for k in range(25 + i % 9)) for i in range(60)]
     hot = [f"w{i}" for i in range(120)]
     texts += [" ".join(hot[:i] + ["changed"] + hot[i + 1 :]) for i in range(3, 118)] * 2
     sets = []
@@ -82,6 +87,29 @@ def test_near_duplicates_against_all_pairs(spark):
         assert rows[i].group_id == min(reach)
 
 
+def test_rows_grow_with_the_members_of_a_group(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, name):
+        out = storage.keep(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    seen = {}
+    for n in (200, 400, 800):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(150)]
+        texts = [" ".join(w if rng.random() > 0.012 else f"new{rng.randrange(10**6)}" for w in base) for _ in range(n)]
+        rows.clear()
+        found = ngram_join.near_duplicates(frame(spark, texts)).collect()
+        assert len(found) == n and sum(r.n_links for r in found) > 0.1 * n * n
+        seen[n] = dict(rows)
+    for name, few in seen[200].items():
+        assert seen[800][name] <= 4.5 * max(few, 50), (name, seen)
+    assert seen[800]["family-blocks"] == 1 and seen[800]["links"] <= 800 * 2
+
+
 def test_bands_reach_the_recall():
     bands, rows = choose_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99999 and bands * rows <= 128
