@@ -25,6 +25,7 @@ class ids, or null; ``group_id``, the smallest id of all documents connected by
 links.  A text of fewer words than an n-gram has one n-gram, all its words.
 Texts without words (null, empty, blank) are linked to nothing and each is its
 own class.  Repeated rows are copies; null ids are allowed and never smallest.
+Ids are whole numbers, strings or binary; others are taken as strings.
 """
 
 from __future__ import annotations
@@ -207,8 +208,13 @@ def overlap(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-_LINKS_SQL = "cls binary, links long, low long, id long, root_id long, root_cls binary"
-_LINKS = pa.schema([("cls", pa.binary()), ("links", pa.int64()), ("low", pa.int64()), ("id", pa.int64()), ("root_id", pa.int64()), ("root_cls", pa.binary())])
+#: Types of ids as they travel, and what stands for a missing one beside a mark; ids of other types travel as strings.
+_IDS = {"bigint": (pa.int64(), 0), "binary": (pa.binary(), b""), "string": (pa.string(), "")}
+_WHOLE = frozenset(("tinyint", "smallint", "int", "bigint"))
+
+
+def _links(ids: str) -> str:
+    return f"cls binary, links long, low {ids}, id {ids}, root_id {ids}, root_cls binary"
 
 
 def _link_rows(linked: np.ndarray, cls: list, ids: list, copies: np.ndarray) -> list[tuple]:
@@ -229,11 +235,12 @@ def _link_rows(linked: np.ndarray, cls: list, ids: list, copies: np.ndarray) ->
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_LINKS)], schema=_LINKS)
+def _batch(rows: list[tuple], ids: str) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), *(_IDS[ids][0],) * 3, pa.binary())
+    return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["cls", "links", "low", "id", "root_id", "root_cls"])
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, kind: str):
     """Links of the pairs that a bucket's band is the first to show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +261,7 @@ def _verify(threshold: float):
                 linked = pairs & (inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9)
                 out += _link_rows(linked | linked.T, [cls[a + i] for i in used], [ids[a + i] for i in used], copies[a:b][used])
             if out:
-                yield _batch(out)
+                yield _batch(out, kind)
 
     return run
 
@@ -276,7 +283,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verify_blocks(threshold: float):
+def _verify_blocks(threshold: float, kind: str):
     """Links between two blocks of a family, or inside one; a row holds both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +300,12 @@ def _verify_blocks(threshold: float):
                 linked = wanted & (inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9)
                 rows = _link_rows(linked | linked.T, [m["cls"] for m in members], [m["class_id"] for m in members], np.array([m["copies"] for m in members], np.int64))
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, kind)
 
     return run
 
 
-def family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, threshold: float, ids: str) -> DataFrame:
     """Links inside ``families`` (cls, family) from the n-gram sets (cls, grams) of their classes."""
     roots = families.select(F.col("family").alias("cls")).distinct()
     size = roots.join(classes, "cls").agg(F.sum("n")).first()[0] or 0
@@ -330,7 +337,7 @@ def family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, thres
     seconds = packed.select("family", F.col("block").alias("other"), F.col("members").alias("second"))
     across = firsts.join(met, ["family", "block"]).join(seconds, ["family", "other"]).select("core", "first", "second")
     inside = firsts.select("core", "first", F.lit(None).cast(seconds.schema["second"].dataType).alias("second"))
-    return inside.unionByName(across).mapInArrow(released(_verify_blocks(threshold)), _LINKS_SQL)
+    return inside.unionByName(across).mapInArrow(released(_verify_blocks(threshold, ids)), _links(ids))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -365,8 +372,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, t
     """Classes, numbers of links and groups of all documents; see the module's text."""
     small_batches(docs.sparkSession)
     n_bands, n_rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    signed = keep(texts.mapInArrow(released(_sign(size, n_bands, n_rows)), "doc_id long, cls binary, n int, bands array<long>"), "signatures")
+    kind = docs.schema[id_col].dataType.simpleString()
+    ids = "bigint" if kind in _WHOLE else kind if kind in _IDS else "string"
+    missing = F.lit(_IDS[ids][1])
+    texts = docs.select(F.col(id_col).cast(ids).alias("doc_id"), "text")
+    signed = keep(texts.mapInArrow(released(_sign(size, n_bands, n_rows)), f"doc_id {ids}, cls binary, n int, bands array<long>"), "signatures")
     classes = keep(
         signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
@@ -379,23 +389,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, t
     scan = members.filter("not large").select("band", "h", "cls").join(signs, "cls").select(*_KEYS, "family", "cls", "bands")
     wanted = keep(_dealt(scan).mapInArrow(released(_scan), "band int, h long, cls binary"), "bucket-pairs")
     needed = keep(wanted.select("cls").union(families.select("cls")).distinct(), "needed-classes")
-    chosen = classes.select("cls", "class_id").join(needed, "cls").select(F.coalesce("class_id", F.lit(0)).alias("doc_id"), F.col("class_id").isNull().alias("unnamed")).distinct()
+    chosen = classes.select("cls", "class_id").join(needed, "cls").select(F.coalesce("class_id", missing).alias("doc_id"), F.col("class_id").isNull().alias("unnamed")).distinct()
     # only texts that stand for a class with possible links are read into n-gram sets
-    known = texts.withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    known = texts.withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", missing))
     found = known.join(hashed_side(keep(chosen, "needed-ids")), ["doc_id", "unnamed"], "left_semi").select("doc_id", "text").mapInArrow(released(_sets(size)), "cls binary, grams binary")
     sets = keep(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "gram-sets")
     verify = wanted.join(classes.drop("bands").join(sets, "cls"), "cls").join(signs, "cls").select(*_KEYS, "family", "cls", "class_id", "copies", "n", "bands", "grams")
-    paired = _dealt(verify).mapInArrow(released(_verify(threshold)), _LINKS_SQL)
+    paired = _dealt(verify).mapInArrow(released(_verify(threshold, ids)), _links(ids))
     if families.take(1):
-        paired = paired.unionByName(family_links(classes, families, sets, threshold))
+        paired = paired.unionByName(family_links(classes, families, sets, threshold, ids))
     links = keep(paired, "links")
     # a vertex carries its class's id in front, so the smallest label tells the group's id itself
-    vertex = lambda id_, cls: F.struct(F.col(id_).isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"), F.col(cls).alias("cls"))
+    vertex = lambda id_, cls: F.struct(F.col(id_).isNull().alias("unnamed"), F.coalesce(id_, missing).alias("id"), F.col(cls).alias("cls"))
     edges = links.filter(F.col("cls") != F.col("root_cls")).select(vertex("id", "cls").alias("cls"), vertex("root_id", "root_cls").alias("root"))
     roots = components(edges).select(F.col("cls.cls").alias("cls"), F.when(~F.col("root.unnamed"), F.col("root.id")).alias("group_id"))
     info = classes.select("cls", "class_id", "copies").join(links.groupBy("cls").agg(F.sum("links").alias("links"), F.min("low").alias("low")), "cls", "left").join(roots, "cls", "left")
     # written, so that the last join can split a class with a third of all rows
     info = keep(info.select("cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "low", F.coalesce("group_id", "class_id").alias("group_id")), "class-info")
     linked = signed.filter("n > 0").select("doc_id", "cls").join(info, "cls").select("doc_id", "class_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"), F.col("low").alias("link_id"), "group_id")
-    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("link_id"), F.col("doc_id").alias("group_id"))
+    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(ids).alias("link_id"), F.col("doc_id").alias("group_id"))
     return linked.unionByName(alone)

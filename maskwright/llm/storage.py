@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where it is unset,
-as in local tests, a temporary one is made and set.  A written table cuts the
+The folder is the session's ``spark.checkpoint.dir``.  Only where it is unset
+and all tasks run in the driver's process, as in local tests, a temporary one
+is made and set; on a cluster an unset one is an error.  A written table cuts the
 lineage: a lost executor costs the tasks it ran, never the stages before.
 """
 
@@ -24,6 +25,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="maskwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,13 +52,18 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again; removed when Python ends."""
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet in the shared folder; its path, removed when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
 def hashed_side(ids: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
