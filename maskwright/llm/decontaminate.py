@@ -6,15 +6,19 @@ counted through all documents of the segment with a gap between documents.
 ``term_counts`` sums the dictionaries' counts for the terms of the test items.
 ``phrase_search`` takes each test window's terms from the rarest to the most
 frequent, subtracts each term's place in the window from its postings and
-intersects the lists; what remains are the exact occurrences.
+intersects the lists; what remains are the exact occurrences.  Terms are known
+by 64-bit hashes: equal hashes of a whole window stand for equal words.
 ``proximity_search`` keeps the places where all terms occur within a span.
 
 The index is split by document, so a word, a source or a passage that a third
 of all rows share is spread over all segments, and no shuffle is needed.  The
-test items travel to the segments in blocks of at most ``block_chars``
-characters; the number of blocks is unbounded, the size of each is.
+test items are cut into pieces of at most ``piece_words`` words, overlapping by a
+window less a word, so no item is too long, and travel to the segments in
+blocks of about ``block_chars`` characters.  One block at a time is on the driver and
+broadcast; its result is written before the next one starts, so neither grows
+with the benchmark.
 
-Null and empty texts have no words: they are never contaminated, and as test
+Ids of documents may be of any type and are kept.  Null and empty texts have no words: they are never contaminated, and as test
 items they have no windows.  Test items without an id mark words but are not
 listed.  Repeated rows give repeated results; other columns are ignored.
 """
@@ -26,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import keep, released, small_batches
+from .storage import keep, released, small_batches, write
 from .tokens import Words, groups
 
 WINDOW = 13
@@ -40,46 +44,47 @@ BLOCK_CHARS = 2 << 20
 #: Places left free between documents; no phrase or proximity span may be longer.
 GAP = 256
 
-INDEX = T.StructType([
-    T.StructField("segment", T.LongType()),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())),
-    T.StructField("doc_words", T.BinaryType()),
-    T.StructField("terms", T.BinaryType()),
-    T.StructField("counts", T.BinaryType()),
-    T.StructField("postings", T.BinaryType()),
-])
-_ARROW = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())])
+#: Documents of a segment, so that places and gaps fit into 32 bits.
+SEGMENT_DOCS = 1 << 16
+PIECE_WORDS = 1 << 16
 
 
-def _segment(number: int, ids: list, counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _index_type(ids: T.DataType) -> T.StructType:
+    blobs = [T.StructField(c, T.BinaryType()) for c in ("doc_words", "terms", "counts", "postings")]
+    return T.StructType([T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(ids)), *blobs])
+
+
+def _segment(number: int, ids: list[pa.Array], counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
     words, flat = np.concatenate(counts).astype(np.int32), np.concatenate(hashes)
     gaps = np.repeat(np.arange(len(words), dtype=np.int32) * GAP, words)
     places = np.arange(len(flat), dtype=np.int32) + gaps
     order = np.argsort(flat, kind="stable")
     terms, first = np.unique(flat[order], return_index=True)
     sizes = np.diff(np.append(first, len(flat))).astype(np.int32)
-    row = [[number], [ids], [words.tobytes()], [terms.tobytes()], [sizes.tobytes()], [places[order].tobytes()]]
-    return pa.record_batch([pa.array(v, t) for v, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
+    listed = pa.concat_arrays(ids)
+    row = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), *(pa.array([x.tobytes()], pa.binary()) for x in (words, terms, sizes, places[order]))]
+    return pa.record_batch(row, ["segment", "doc_ids", "doc_words", "terms", "counts", "postings"])
 
 
 def _index_rows(segment_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids: list = []
+        ids: list[pa.Array] = []
         counts: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
-        held = 0
+        held = docs = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in groups([len(t or "") for t in texts]):
                 w = Words(texts[a:b])
-                ids += keys[a:b]
+                ids.append(keys.slice(a, b - a))
                 counts.append(w.counts)
                 hashes.append(w.hashes)
                 held += len(w.hashes)
-                if held >= segment_words:
+                docs += b - a
+                if held >= segment_words or docs >= SEGMENT_DOCS:
                     yield _segment(number, ids, counts, hashes)
-                    number, ids, counts, hashes, held = number + 1, [], [], [], 0
+                    number, ids, counts, hashes, held, docs = number + 1, [], [], [], 0, 0
         if ids:
             yield _segment(number, ids, counts, hashes)
 
@@ -89,7 +94,7 @@ def _index_rows(segment_words: int):
 def build_index(docs: DataFrame, id_col: str = "doc_id", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The stored index of all ``docs``, whole texts."""
     small_batches(docs.sparkSession)
-    return keep(docs.select(F.col(id_col).cast("long"), F.col("text")).mapInArrow(released(_index_rows(segment_words)), INDEX), "positional-index")
+    return keep(docs.select(id_col, "text").mapInArrow(released(_index_rows(segment_words)), _index_type(docs.schema[id_col].dataType)), "positional-index")
 
 
 class Windows:
@@ -135,6 +140,7 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     out = np.zeros(len(terms), np.int64)
     for term, n in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[term] = n
+    sent.destroy()
     return out
 
 
@@ -173,11 +179,16 @@ class Segment:
         return found
 
 
-_FOUND = "segment long, doc_no int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+def _ids(index: DataFrame) -> str:
+    return index.schema["doc_ids"].dataType.elementType.simpleString()
 
 
 def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]], size: int = WINDOW) -> DataFrame:
-    """Per document: the merged word ranges inside any window, and the items found there."""
+    """Per document: the merged word ranges inside any window, and the items (a bounded list) found there."""
+    return _search(index, items, size)[0]
+
+
+def _search(index: DataFrame, items: list[tuple[str | None, str | None]], size: int) -> tuple[DataFrame, Broadcast]:
     windows = Windows(items, size)
     frequency = term_counts(index, windows.terms)
     ranks = {n: np.argsort(frequency[_lookup(windows.terms, rows)], axis=1, kind="stable").astype(np.int32) for n, (rows, _) in windows.by_length.items()}
@@ -188,8 +199,8 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
         names = np.array([i if i is not None else "" for i in windows.items], object)
         for batch in batches:
             for row in range(batch.num_rows):
-                number, doc_ids, *blobs = (c[row].as_py() for c in batch.columns)
-                seg = Segment(*blobs)
+                number, doc_ids = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                seg = Segment(*(c[row].as_py() for c in batch.columns[2:]))
                 change = np.zeros(seg.base[-1] + 1, np.int32)
                 pairs: list[np.ndarray] = []
                 for length, (rows, owner) in windows.by_length.items():
@@ -213,7 +224,7 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
                 n = len(seg.words)
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(doc_ids, pa.int64()), pa.array(seg.words),
+                        pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), doc_ids, pa.array(seg.words),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(starts.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ends.astype(np.int32))),
                         pa.array([sorted(listed.get(d, ())) for d in range(n)], pa.list_(pa.string())),
@@ -221,7 +232,8 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
                     ["segment", "doc_no", "doc_id", "n_words", "starts", "ends", "items"],
                 )
 
-    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(released(run), _FOUND)
+    found = f"segment long, doc_no int, doc_id {_ids(index)}, n_words long, starts array<int>, ends array<int>, items array<string>"
+    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(released(run), found), sent
 
 
 def proximity_search(index: DataFrame, phrases: list[str], span: int) -> DataFrame:
@@ -234,35 +246,60 @@ def proximity_search(index: DataFrame, phrases: list[str], span: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, doc_ids, *blobs = (c[row].as_py() for c in batch.columns)
-                seg = Segment(*blobs)
-                out = []
+                doc_ids = batch.column(1)[row].values
+                seg = Segment(*(c[row].as_py() for c in batch.columns[2:]))
+                docs, phrase, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
                 for k, terms in enumerate(sent.value):
                     local = _lookup(seg.terms, terms)
                     if len(local) and (local >= 0).all():
                         places = seg.near(local, span)
-                        docs = np.searchsorted(seg.base, places, "right") - 1
-                        out += [(doc_ids[d], k, int(p - seg.base[d])) for d, p in zip(docs, places, strict=True)]
-                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "phrase", "place"])
+                        docs.append(np.searchsorted(seg.base, places, "right") - 1)
+                        phrase.append(np.full(len(places), k, np.int32))
+                        place.append((places - seg.base[docs[-1]]).astype(np.int32))
+                yield pa.record_batch([doc_ids.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(phrase)), pa.array(np.concatenate(place))], ["doc_id", "phrase", "place"])
+
+    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(run, f"doc_id {_ids(index)}, phrase int, place int")
+
 
-    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(run, "doc_id long, phrase int, place int")
+def _pieces(size: int, piece_words: int):
+    """Items in pieces that have every window of ``size`` words once; shorter items stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                if len(text) <= piece_words:
+                    items.append(item)
+                    texts.append(text)
+                    continue
+                w = Words([text])
+                for at in range(0, max(len(w.hashes) - size + 1, 1), piece_words):
+                    own = slice(at, at + piece_words + size - 1)
+                    items.append(item)
+                    texts.append(bytes(w.data[w.starts[own][0] : w.ends[own][-1]]).decode("utf-8", "surrogatepass") if len(w.hashes) else "")
+            yield pa.record_batch([pa.array(items, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    return run
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, block_chars: int, size: int = WINDOW, piece_words: int = PIECE_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Blocks of (item, text); the driver holds one, and at most one partition's pieces."""
     block: list[tuple[str | None, str | None]] = []
     held = 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if block and held + len(text or "") > block_chars:
+    pieces = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_pieces(size, piece_words), "item string, text string")
+    for item, text in pieces.toLocalIterator():
+        if block and held + len(text) > block_chars:
             yield block
             block, held = [], 0
         block.append((item, text))
-        held += len(text or "")
+        held += len(text)
     yield block
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, words, starts, ends, items = (batch.column(i).to_pylist() for i in range(5))
+        words, starts, ends, items = (batch.column(i).to_pylist() for i in range(1, 5))
         hits, names = [], []
         for s, e, i in zip(starts, ends, items, strict=True):
             n, reach = 0, 0
@@ -273,7 +310,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names.append(sorted(set(i)))
         yield pa.record_batch(
             [
-                pa.array(doc, pa.int64()), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                 pa.array([h > 0 and 20 * h >= w for h, w in zip(hits, words, strict=True)], pa.bool_()), pa.array(names, pa.list_(pa.string())),
             ],
@@ -281,14 +318,18 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = WINDOW, block_chars: int = BLOCK_CHARS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """Per document: words, words inside windows of ``benchmark``, items found, and the verdict (a twentieth of the words hit)."""
     index = build_index(docs, id_col)
-    parts = [phrase_search(index, block, size) for block in _blocks(benchmark, block_chars)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
+    blocks = _blocks(benchmark, block_chars, size, piece_words)
+    found, _ = _search(index, next(blocks), size)
+    rest = []
+    for block in blocks:
+        part, sent = _search(index, block, size)
+        rest.append(write(part.filter(F.size("starts") > 0), "phrase-hits"))
+        sent.destroy()
+    if rest:
+        hits = docs.sparkSession.read.schema(found.schema).parquet(*rest)
         lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")}
-        found = found.groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists.values())
-    return found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+        found = found.unionByName(hits).groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists.values())
+    return found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_summary, f"doc_id {_ids(index)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
