@@ -8,8 +8,14 @@ conversations the smallest id stays.  What remains is rendered.
 
 A rolling hash is a sum of two 64-bit hashes of place, role and text, so it is
 built from sums over blocks of turns and needs no conversation in one piece;
-rendered conversations come as one row per ``block`` of ``BLOCK`` places.
-Hashes of turns that many conversations share are reduced before any shuffle.
+rendered conversations come as one row per ``block`` of ``BLOCK`` places.  Where
+a block holds more than ``BLOCK`` different turns, as many without a number or
+of one place do, it comes in several rows, ``part`` by part, a turn's part being
+a hash of it.  Hashes of turns that many conversations share are reduced before
+any shuffle.
+
+Markers inside of roles and texts are escaped: every ``<``, backslashes and
+``|`` gets one more backslash, so a rendered text can be read back exactly.
 
 The place of a turn is its number less the conversation's first; turns without
 a number come before.  Turns of one place are ordered by role and text, and
@@ -19,7 +25,7 @@ Rows without a conversation id are one conversation.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import keep
@@ -61,11 +67,25 @@ def maximal(conversations: DataFrame) -> DataFrame:
     return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
 
 
+def _parts(turns: DataFrame) -> DataFrame:
+    """``turns`` with the number of parts of their block, by its different turns."""
+    many = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK).select(F.col("conv_id").alias("of"), F.col("block").alias("in"))
+    here = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))
+    many = keep(many, "chat-long-blocks")
+    distinct = turns.select("conv_id", "block", "place", "role", "text").join(many, here, "left_semi").distinct()
+    sizes = distinct.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).filter("parts > 1").select(F.col("conv_id").alias("of"), F.col("block").alias("in"), "parts")
+    return turns.join(keep(sizes, "chat-parts"), here, "left").drop("of", "in").withColumn("part", F.pmod(F.xxhash64("place", "role", "text"), F.coalesce("parts", F.lit(1))).cast("long")).drop("parts")
+
+
+def escaped(value: Column) -> Column:
+    return F.regexp_replace(value, r"<(\\*)\|", r"<\\$1|")
+
+
 def render(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, n_turns, n_copies and the rendered text of every maximal conversation."""
+    """conv_id, block, part, n_turns, n_copies and the rendered text of every maximal conversation."""
     kept = keep(maximal(conversations).withColumnRenamed("conv_id", "of"), "chat-maximal")
     turns = places(conversations).join(kept, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-    blocks = turns.groupBy("conv_id", "block").agg(F.max("n_copies").alias("n_copies"), F.array_sort(F.collect_set(F.struct("place", "role", "text"))).alias("turns"))
+    blocks = _parts(turns).groupBy("conv_id", "block", "part").agg(F.max("n_copies").alias("n_copies"), F.array_sort(F.collect_set(F.struct("place", "role", "text"))).alias("turns"))
     head, _, tail = OPEN.partition("{}")
-    text = F.expr(f"array_join(transform(turns, t -> concat('{head}', t.role, '{tail}', t.text, '{END}')), '')".replace("\n", "\\n"))
-    return blocks.select("conv_id", "block", F.size("turns").cast("long").alias("n_turns"), "n_copies", text.alias("text"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(head), escaped(t["role"]), F.lit(tail), escaped(t["text"]), F.lit(END))), "")
+    return blocks.select("conv_id", "block", "part", F.size("turns").cast("long").alias("n_turns"), "n_copies", text.alias("text"))

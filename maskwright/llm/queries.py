@@ -93,14 +93,14 @@ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
 SELECT page_id, url, text, length(text) AS n_chars FROM c
 """
 
-_OP3 = """
+_OP3 = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT conv_id, place, role, text, max(place) OVER (PARTITION BY conv_id) AS n,
   string_agg(place || chr(1) || role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY place, role, text) AS h FROM t),
 w AS (SELECT h, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY h),
 k AS (SELECT conv_id, n_copies FROM w WHERE h NOT IN (SELECT h FROM p WHERE place < n))
-SELECT conv_id, CAST(0 AS BIGINT) AS block, count(*) AS n_turns, max(n_copies) AS n_copies,
-  string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place, role, text) AS text
+SELECT conv_id, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, max(n_copies) AS n_copies,
+  string_agg('<|' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10), '' ORDER BY place, role, text) AS text
 FROM t JOIN k USING (conv_id) GROUP BY conv_id
 """
 
