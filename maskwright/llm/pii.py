@@ -1,17 +1,22 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-``find`` locates e-mail addresses, card numbers, IPv4 addresses, phone and
-social-security numbers and personal names.  Each entity is reduced to a value
-(case, spacing and punctuation aside) that is mapped by a keyed permutation
-without fixed points over all values of its format; so equal values always get
-equal surrogates, in every document (coreference), different ones different
-surrogates (distinctness), and no value stays.  Digits stay digits, letters
-stay letters of their script and kind (vowel, consonant, accented), a card
-number keeps whether its check digit is right, first names of the lists are
-exchanged within their script and gender, and the original's case, spacing and
-punctuation are put back.  ``collisions`` checks distinctness over the whole
-corpus; should two values of a kind ever share a surrogate, the next tweak of
-the key is used for all.
+``find`` locates e-mail addresses, card and other long numbers, IPv4 addresses,
+phone and social-security numbers and personal names: after forms of address,
+after words that announce a name, before an address in brackets, and from a
+known first name on; later mentions of a part alone belong to the same person.
+Each entity is reduced to a value (case, spacing and punctuation aside) that is
+mapped by a keyed permutation without fixed points over all values of its
+format; so equal values always get equal surrogates, in every document
+(coreference), different ones different surrogates (distinctness), and no value
+stays.  What a name is depends on its value alone: a listed first name is
+exchanged within its script and gender wherever it stands, every other part of
+a name by the letters.  Digits stay digits, letters stay letters of their
+script and kind, a card number (told by its check digit) stays a valid one, and
+the original's case, spacing and punctuation are put back.  Kept as they are:
+top-level domains and country codes of phone numbers, which ``country_code``
+tells from the digits, so it does not matter how a number is written.
+``collisions`` checks distinctness over the whole corpus; should two values of
+a kind ever share a surrogate, the next tweak of the key is used for all.
 
 Null texts stay null, empty ones empty; repeated rows get equal results; all
 other columns are kept as they are.
@@ -30,21 +35,29 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches
 
-KINDS = ("email", "card", "ip", "ssn", "phone", "name")
+KINDS = ("email", "card", "account", "ip", "ssn", "phone", "name")
 DEFAULT_KEY = "maskwright-surrogates"
 
-# First names by script and gender, and forms of address.
+# First names by script and gender, forms of address, and words that announce a name.
 FIRST_NAMES = {
-    ("latin", "f"): "Anna Maria Laura Julia Sophie Emma Sarah Emily Olivia Lucia Carmen Elena Isabel Camille Chloe Claire Hannah Katharina Ingrid Alice".split(),
-    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Carlos Miguel Javier Pablo Pierre Antoine Lukas Stefan Andreas Henrik".split(),
+    ("latin", "f"): """Anna Maria Laura Julia Sophie Emma Sarah Emily Olivia Lucia Carmen Elena Isabel Camille Chloe Claire Hannah Katharina Ingrid Alice
+    Grace Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Nancy Lisa Margaret Sandra Ashley Michelle Amanda Melissa Rebecca Rachel
+    Fatima Aisha Priya Mei Yuki Amina Leila Zainab Ayse Giulia Chiara Francesca Agnieszka Katarzyna Ines Beatriz Mariana Sofia Valentina Camila""".split(),
+    ("latin", "m"): """James John Robert Michael William David Thomas Daniel Peter Paul Carlos Miguel Javier Pablo Pierre Antoine Lukas Stefan Andreas Henrik
+    Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth George Edward Brian Ronald Kevin Jason Jeffrey Ryan Jacob Gary Eric
+    Ahmed Mohammed Muhammad Omar Hassan Ali Ibrahim Yusuf Raj Arjun Wei Hiroshi Kenji Giovanni Marco Luca Piotr Jan Mateus Diego""".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
     ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Ειρήνη".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split()
-# Letters that may stand for each other.
-LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñßøåæœšžćčłńśź", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσφχψ", "άέήίόύώ"]
+ANNOUNCED = ["name", "nombre", "nom", "contact", "customer", "patient", "employee", "author", "signed", "attn", "regards", "sincerely", "yours truly", "name is", "grüßen", "cordialement", "atentamente"]
+# Letters that may stand for each other: sounds of a kind, so names stay speakable.
+LETTERS = ["aeiou", "bdgkpt", "lmnr", "cfhsvwz", "jqxy", "áéíóúàèìòùâêîôûäëïöü", "çñßøåæœšžćčłńśź", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσφχψ", "άέήίόύώ"]
+# Country calling codes of one and of two digits; all others have three.
+CODES_1 = frozenset("1 7".split())
+CODES_2 = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 RANGES = [(0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x0621, 0x063A), (0x05D0, 0x05EA), (0x0904, 0x0939)]
 
 _CLASS_OF = {c: (letters, i) for letters in LETTERS for i, c in enumerate(letters)} | {d: ("0123456789", i) for i, d in enumerate("0123456789")}
@@ -62,9 +75,15 @@ _NUMBERS = re.compile(
 _DIGIT = re.compile(r"[0-9]")
 _DOMAIN = re.compile(r"[^\W_](?:[\w-]{0,62})(?:\.[^\W_][\w-]{0,62})*\.[^\W\d_]{2,24}(?![\w-])")
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*"
+_CAPITAL = r"(?=[^\W\d_a-zß-öø-ÿа-яά-ώ])"
 _NAMES = re.compile(
-    rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?[ \t]+(?P<rest>{_WORD}(?:[ \t]+{_WORD}){{0,2}})|(?P<first>{'|'.join(n for names in FIRST_NAMES.values() for n in names)})[ \t]+(?P<last>{_WORD}(?:[ \t]+{_WORD})?))(?!\w)"
+    rf"\b{_CAPITAL}(?:(?P<title>{'|'.join(TITLES)})\.?[ \t]+(?P<rest>{_WORD}(?:[ \t]+{_WORD}){{0,2}})|(?P<first>{'|'.join(n for names in FIRST_NAMES.values() for n in names)})[ \t]+(?P<last>{_WORD}(?:[ \t]+{_WORD})?))(?!\w)"
 )
+_TOLD = re.compile(rf"(?:[:,]\s*|(?<=name is)[ \t]+){_CAPITAL}({_WORD}(?:[ \t]+{_CAPITAL}{_WORD}){{1,2}})(?!\w)")
+_BEFORE = re.compile(rf"\b{_CAPITAL}({_WORD}(?:[ \t]+{_CAPITAL}{_WORD}){{1,2}})[ \t]*[<(]$")
+_ANNOUNCE = re.compile(rf"(?<!\w)(?:{'|'.join(ANNOUNCED)})$", re.I)
+#: Characters before a name's place that are looked at for what announces it.
+_LOOK_BACK = 120
 _LOCAL = frozenset("._%+-")
 
 
@@ -83,37 +102,40 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str]]:
-    """Tokens of personal names, each as (start, end, 'first' or 'last')."""
-    known: dict[str, str] = {}
+def _names(text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Tokens of personal names, and later mentions of a part alone."""
+    known: set[str] = set()
     for m in _NAMES.finditer(text):
-        group = "rest" if m["title"] else "last"
-        tokens = [t for t in re.finditer(_WORD, m[group]) if t[0][:1].isupper()]
-        whole = list(re.finditer(_WORD, m[group]))
-        tokens = tokens[: next((i for i, t in enumerate(whole) if not t[0][:1].isupper()), len(whole))]
-        if not tokens:
-            continue
-        if m["first"]:
-            known[m["first"]] = "first"
-        for i, t in enumerate(tokens):
-            known[t[0]] = "first" if t[0].casefold() in _LIST_OF and i < max(1, len(tokens) - 1) and m["title"] and len(tokens) > 1 else known.get(t[0], "last")
+        parts = re.findall(_WORD, m["rest"] or m["last"])
+        own = parts[: next((i for i, p in enumerate(parts) if not p[:1].isupper()), len(parts))]
+        if own:
+            known.update([m["first"], *own] if m["first"] else own)
+    for m in _TOLD.finditer(text):
+        if _ANNOUNCE.search(text[max(0, m.start() - _LOOK_BACK) : m.start()].rstrip()):
+            known.update(re.findall(_WORD, m[1]))
+    for a, _ in emails:
+        if a and text[a - 1] in "<(" and (m := _BEFORE.search(text[max(0, a - _LOOK_BACK) : a])):
+            known.update(re.findall(_WORD, m[1]))
     if known:
-        # later mentions of a part alone are the same person
         for m in re.finditer(_WORD, text):
             if m[0] in known:
-                yield m.start(), m.end(), known[m[0]]
+                yield m.start(), m.end(), "name"
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all entities, in order, without overlaps."""
     if not text:
         return []
-    spans: list[tuple[int, int, str]] = [(a, b, "email") for a, b in _emails(text)]
+    emails = list(_emails(text))
+    spans: list[tuple[int, int, str]] = [(a, b, "email") for a, b in emails]
     for m in _NUMBERS.finditer(text) if _DIGIT.search(text) else ():
-        digits = sum(c.isdigit() for c in m[0])
-        if m.lastgroup != "phone" or 7 <= digits <= 15:
-            spans.append((*m.span(), m.lastgroup or "phone"))
-    spans += [(a, b, f"name:{part}") for a, b, part in _names(text)]
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        kind = next(k for k in ("ip", "ssn", "phone", "card") if m[k])
+        if kind == "card" and _check_digit(digits[:-1]) != digits[-1]:
+            kind = "account"
+        if kind != "phone" or 7 <= len(digits) <= 15:
+            spans.append((*m.span(), kind))
+    spans += _names(text, emails)
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for s in spans:
@@ -188,20 +210,23 @@ class Surrogates:
         if kind == "card":
             body = [int(c) for c in value[:-1]]
             new = self.permute("card", body, [10] * len(body))
-            return "".join(map(str, new)) + str((int(value[-1]) - _check_digit(body) + _check_digit(new)) % 10)
+            return "".join(map(str, [*new, _check_digit(new)]))
         if kind == "email":
             local, _, domain = value.rpartition("@")
             head, _, top = domain.rpartition(".")
             return f"{self.characters('local', local)}@{self.characters('domain', head)}.{top}"
-        if kind == "name:first" and value in _LIST_OF:
+        if kind == "name" and value in _LIST_OF:
             names, i = _LIST_OF[value]
             return names[self.permute("first", [i], [len(names)])[0]].casefold()
-        return self.characters(kind, value)
+        new = self.characters(kind, value)
+        while kind == "name" and new in _LIST_OF:  # on along the permutation's cycle, which leaves the list where it began
+            new = self.characters(kind, new)
+        return new
 
     def replace(self, kind: str, original: str) -> str:
         """The surrogate in the original's spacing, punctuation and case."""
         new = self.value(kind, normal(kind, original))
-        if kind in ("card", "phone", "ssn"):
+        if kind in ("card", "account", "phone", "ssn"):
             head = country_code(original) if kind == "phone" else 0
             digits = iter(new)
             return original[:head] + "".join(next(digits) if c.isdigit() else c for c in original[head:])
@@ -218,16 +243,20 @@ def _check_digit(body: list[int]) -> int:
 
 
 def country_code(phone: str) -> int:
-    """Length of a leading country code that a separator ends."""
-    found = re.match(r"\+\d{1,3}(?=[ .\-(])", phone)
-    return found.end() if found else 0
+    """Length of the part up to the end of a leading country code, separators and brackets included."""
+    if not phone.startswith("+"):
+        return 0
+    digits = [(i, c) for i, c in enumerate(phone) if c.isdigit()]
+    code = "".join(c for _, c in digits[:2])
+    size = 1 if code[0] in CODES_1 else 2 if code in CODES_2 else 3
+    return digits[size - 1][0] + 1
 
 
 def normal(kind: str, original: str) -> str:
     """The value that decides which entities are the same."""
     if kind == "phone":
         return "".join(c for c in original[country_code(original) :] if c.isdigit())
-    if kind in ("card", "ssn"):
+    if kind in ("card", "account", "ssn"):
         return "".join(c for c in original if c.isdigit())
     return original if kind == "ip" else "".join(low if len(low := c.lower()) == 1 else c for c in original)
 
@@ -266,7 +295,7 @@ def _replace(key: str, tweak: int):
             parts, at = [], 0
             for a, b, kind in spans:
                 parts += [text[at:a], maps.replace(kind, text[a:b])]
-                n[kind.split(":")[0]] += 1
+                n[kind] += 1
                 at = b
             new.append("".join([*parts, text[at:]]) if spans else text)
             counts.append(list(n.values()))
