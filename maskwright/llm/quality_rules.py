@@ -1,11 +1,16 @@
 """Quality rules: a learned decision list over text statistics, in built-in functions only.
 
 ``statistics`` counts words, symbols, repeated lines and repeated three-word
-windows of whole texts.  ``learn`` covers the rejected documents of a labelled
-sample one rule after the other: a rule grows, threshold by threshold, on two
-thirds of the sample by information gain, is pruned on the last third, and
-stays if it is precise enough on all.  ``verdict`` writes the list as one
-ordered CASE expression.  The sample is at most ``max_docs`` labelled documents
+windows (by 64-bit hashes) of whole texts.  ``learn`` covers a labelled sample
+one rule after the other.  For either class a rule grows, threshold by
+threshold, on two thirds of what is left by information gain, and is pruned on
+the last third.  A rule that rejects must be right for ``PRECISION`` of what it
+holds for among what is left, one that keeps for ``KEEP_PRECISION``; of the two the one that covers
+more of its class is next in the list, so the order decides wherever a
+keeping rule stands before a rejecting one.  Documents that no rule holds for
+are kept.  A list has at most ``MOST_RULES`` rules of at most
+``MOST_CONDITIONS`` conditions; these bound the model, not the data it is for.
+``verdict`` writes the list as one ordered CASE expression.  The sample is at most ``max_docs`` labelled documents
 by hash order of their ids, one row for each id; only their statistics reach the driver.
 
 Null and empty texts have no words and fail the base rules; so do texts of
@@ -25,7 +30,8 @@ from .spans import settled
 
 SYMBOLS = "#*$%&|<>"
 MAX_DOCS = 4000
-PRECISION = 0.9
+PRECISION, KEEP_PRECISION = 0.9, 0.995
+MOST_RULES, MOST_CONDITIONS = 12, 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 #: Inputs of the rules: whole numbers, shares in thousandths, so every engine agrees.
 MEASURES = {
@@ -104,38 +110,55 @@ def _grow(rows: list[tuple[dict[str, int], int]], most: int) -> Rule:
 
 
 def _worth(rule: Rule, rows: list[tuple[dict[str, int], int]]) -> float:
-    caught = [bad for row, bad in rows if _covers(rule, row)]
+    caught = [wanted for row, wanted in rows if _covers(rule, row)]
     return (2 * sum(caught) - len(caught)) / len(caught) if caught else -1.0
 
 
-def learn(rows: list[tuple[dict[str, int], int]], precision: float = PRECISION, most_rules: int = 12, most_conditions: int = 3) -> list[Rule]:
-    """Rules that reject, from (measures, 1 if bad) rows in a fixed order."""
-    rules: list[Rule] = []
+def _rule(rows: list[tuple[dict[str, int], int]], most: int) -> Rule:
+    """A rule for the rows marked 1, grown on two thirds and pruned on one."""
+    rule = _grow([r for i, r in enumerate(rows) if i % 3 != 2], most)
+    pruning = [r for i, r in enumerate(rows) if i % 3 == 2]
+    return max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: _worth(r, pruning), default=[])
+
+
+def learn(rows: list[tuple[dict[str, int], int]], precision: float = PRECISION, keep_precision: float = KEEP_PRECISION, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[tuple[Rule, bool]]:
+    """The ordered list of (rule, whether it keeps), from (measures, 1 if bad) rows in a fixed order."""
+    rules: list[tuple[Rule, bool]] = []
     left = list(rows)
-    while sum(bad for _, bad in left) and len(rules) < most_rules:
-        growing, pruning = [r for i, r in enumerate(left) if i % 3 != 2], [r for i, r in enumerate(left) if i % 3 == 2]
-        rule = _grow(growing, most_conditions)
-        if not rule:
-            break
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: _worth(r, pruning))
-        caught = [bad for row, bad in left if _covers(rule, row)]
-        everywhere = [bad for row, bad in rows if _covers(rule, row)]
-        if not sum(caught) or sum(everywhere) < precision * len(everywhere):
+    while any(bad for _, bad in left) and len(rules) < most_rules:
+        best, share = None, 0.0
+        for keeps in (False, True):
+            marked = [(row, bad ^ keeps) for row, bad in left]
+            rule = _rule(marked, most_conditions)
+            caught = [wanted for row, wanted in marked if _covers(rule, row)]
+            if not rule or not sum(caught) or sum(caught) < (keep_precision if keeps else precision) * len(caught):
+                continue
+            covered = sum(caught) / sum(wanted for _, wanted in marked)
+            if covered > share:
+                best, share = (rule, keeps), covered
+        if best is None:
             break
-        rules.append(rule)
-        left = [(row, bad) for row, bad in left if not _covers(rule, row)]
+        rules.append(best)
+        left = [(row, bad) for row, bad in left if not _covers(best[0], row)]
+    while rules and rules[-1][1]:
+        rules.pop()  # documents without a rule are kept anyway
     return rules
 
 
-def verdict(rules: list[Rule]) -> str:
-    """The list as SQL: the first rule that holds rejects."""
+def verdict(rules: list[tuple[Rule, bool]]) -> str:
+    """The list as SQL: the first rule that holds decides."""
     if not rules:
         return "true"
-    cases = " ".join("WHEN " + " AND ".join(f"({MEASURES[m]}) {op} {v}" for m, op, v in rule) + " THEN false" for rule in rules)
+    cases = " ".join("WHEN " + " AND ".join(f"({MEASURES[m]}) {op} {v}" for m, op, v in rule) + f" THEN {str(keeps).lower()}" for rule, keeps in rules)
     return f"CASE {cases} ELSE true END"
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[Rule]:
+def decide(rules: list[tuple[Rule, bool]], row: dict[str, int]) -> bool:
+    """The verdict on one document's measures, without a session."""
+    return next((keeps for rule, keeps in rules if _covers(rule, row)), True)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[Rule, bool]]:
     """The list learned from at most ``max_docs`` labelled documents that pass the base rules."""
     sample = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     # of rows that share an id one stands for all, by hash of the text
