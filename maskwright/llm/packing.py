@@ -4,7 +4,10 @@ One pass tokenises whole texts and packs each partition's pieces locally, the
 longest first, each into the open bin it fits best.  Bins with at most ``slack``
 free places are final.  The rest become items themselves: rounds deal them to
 groups of about ``group_bins``, merge each group by best fit, and pass on what
-is still underfull, until one group holds all or a round gains under 1 %.
+is still underfull, until one group holds all or a round saves less than
+``least_gain`` of the bins it got.  That parameter decides when to stop looking for fuller
+bins only: every piece is in a sequence after any round.  Bins of a group that
+are left are more than half full but for one, so later rounds gain little.
 A task never holds more than a partition's lengths or a few groups of bins.
 
 Only documents of more than ``capacity`` tokens are cut; their pieces are full
@@ -32,6 +35,7 @@ CAPACITY = 1024
 END_ID = 2
 SLACK = 8
 GROUP_BINS = 4096
+LEAST_GAIN = 0.001
 TOKENIZER = "byte_bpe_50k.json"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, fill int, offset long"
@@ -144,7 +148,7 @@ def _merge_groups(capacity: int):
     return run
 
 
-def merge_bins(items: DataFrame, capacity: int, slack: int, group_bins: int) -> DataFrame | None:
+def merge_bins(items: DataFrame, capacity: int, slack: int, group_bins: int, least_gain: float = LEAST_GAIN) -> DataFrame | None:
     """Where each underfull bin of ``items`` (bin, fill) goes: (bin, into, shift); None if there is none."""
     where = None
     n, turn = items.count(), 0
@@ -159,20 +163,20 @@ def merge_bins(items: DataFrame, capacity: int, slack: int, group_bins: int) ->
             where = keep(where.join(on, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "packing-map")
         items = step.filter((F.col("bin") == F.col("into")) & (F.col("fill") < capacity - slack)).select("bin", "fill")
         left = items.count()
-        if groups == 1 or left > 0.99 * n:
+        if groups == 1 or left > (1 - least_gain) * n:
             break
         n, turn = left, turn + 1
     return where
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, group_bins: int = GROUP_BINS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK, group_bins: int = GROUP_BINS, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_pack_partition(tokenizer_path or default_tokenizer(), capacity, end_id)), _PIECES)
     pieces = keep(rows, "packing-pieces")
     # the item at offset 0 stands for its bin
     items = pieces.filter((F.col("fill") < capacity - slack) & (F.col("offset") == 0)).select("bin", "fill")
-    where = merge_bins(items, capacity, slack, group_bins)
+    where = merge_bins(items, capacity, slack, group_bins, least_gain)
     out = [F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
     if where is None:
         return pieces.select(*out, F.col("bin").alias("sequence_id"), "offset")
