@@ -1,10 +1,20 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.  A row is known by a hash of its id and
-content, so rows that share an id are judged apart and repeated rows together.
-A third of the rows from one source or in one group of copies is no special
-case: no stage groups by either.
+last return the columns of documents, in their order, with further columns of
+any name.  A third of the rows from one source or in one group of copies is no
+special case: no stage groups by either.
+
+A row is known by the SHA-256 of its id, text, language and source, in which a
+null differs from every value: rows that share an id are judged apart, rows
+equal in all four are one row repeated.
+
+Odd rows.  Null and empty texts are scored like an empty line by the
+classifier; what it keeps of them has no words, so it is no duplicate of
+anything but a repeated row, never contaminated, holds no personal data, and is
+packed as its end token alone.  Of repeated rows one stays after the second
+stage.  Null ids, languages and sources are values like others.  An empty table
+gives an empty result.  Very long texts are taken whole by every stage.
 """
 
 from __future__ import annotations
@@ -17,16 +27,18 @@ from maskwright.llm.ngram_join import near_duplicates
 from maskwright.llm.packing import pack
 from maskwright.llm.pii import replace_entities
 from maskwright.llm.quality_crf import keep_good
-from maskwright.llm.storage import keep
+from maskwright.llm.storage import hashed_side, keep
 from maskwright.operators.physical import spread
 
 
 def _known(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column, of a name not in use, that tells its rows apart."""
+    """``docs`` with a binary column, of a name not in use, that tells its rows apart."""
     row = "_row"
     while row in docs.columns:
         row += "_"
-    return docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", "source")), row
+    # each value with its length in front, so no two rows read the same
+    told = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "text", "lang", "source")]
+    return docs.withColumn(row, F.unhex(F.sha2(F.concat_ws(";", *told), 256))), row
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +50,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     known, row = _known(docs)
     found = keep(near_duplicates(known, row).select("doc_id", "group_id"), "groups")
-    dropped = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(row)).distinct()
-    # ids are the hashed side: texts stream past them and need not be sorted
-    kept = known.join(dropped.hint("shuffle_hash"), row, "left_anti")
+    dropped = keep(found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(row)).distinct(), "dropped")
+    kept = known.join(hashed_side(dropped), row, "left_anti")
     repeated = keep(found.filter(F.col("doc_id") == F.col("group_id")).groupBy(F.col("doc_id").alias(row)).count().filter("count > 1").select(row), "repeated")
     if repeated.take(1):
-        once = kept.join(repeated, row, "left_semi").dropDuplicates([row])
-        kept = kept.join(repeated, row, "left_anti").unionByName(once)
+        once = kept.join(hashed_side(repeated), row, "left_semi").dropDuplicates([row])
+        kept = kept.join(hashed_side(repeated), row, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 
 
@@ -53,7 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     known, row = _known(docs)
     found = contamination(known, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
     dropped = keep(found.filter("contaminated").select(F.col("doc_id").alias(row)).distinct(), "contaminated")
-    return known.join(dropped, row, "left_anti").select(docs.columns)
+    return known.join(hashed_side(dropped), row, "left_anti").select(docs.columns)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
