@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
-EMAIL = r"(?i)(?<![\p{L}\p{N}_.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}(?![\p{L}\p{N}_.-])"
+# The patterns of ``vocabulary`` for Java, with possessive runs where nothing can be given back.
+EMAIL = r"(?i)(?<![\p{L}\p{N}_.+-])[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,63}(?![\p{L}\p{N}_.-])"
 IPV4 = r"(?<![\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}_]|\.[0-9])"
+NUMBER = r"(?<![\p{L}\p{N}_-])[0-9]{13,19}(?![\p{L}\p{N}_-])"
 PHONE = r"(?<![\p{L}\p{N}_-])(?:\(\s*\+?[0-9]{1,3}\s*\)\s*|\+[0-9]{1,3}[\s.-]|507[\s.-])?(?:\(?[0-9]{3}\)?[\s.-][0-9]{4}|\(?[0-9]{4}\)?[\s.-][0-9]{4}|\(?[0-9]{3}\)?[\s.-][0-9]{3}[\s.-][0-9]{4}|[0-9]{8})(?![\p{L}\p{N}_-])"
-NATIVE = {"email": EMAIL, "ipv4": IPV4, "phone": PHONE}
+#: Pattern of each kind, and a pattern that a text without a value of the kind mostly lacks, which is cheaper to look for.
+NATIVE = {"email": (EMAIL, "@"), "ipv4": (IPV4, r"[0-9]\.[0-9]"), "number": (NUMBER, "[0-9]{13}"), "phone": (PHONE, "[0-9][0-9)]{2}")}
+
+
+def _may_have(text: Column, kind: str) -> Column:
+    told = NATIVE[kind][1]
+    return text.contains(told) if told == "@" else text.rlike(told)
 
 
 def words(text: Column) -> Column:
@@ -26,14 +34,20 @@ def squeeze(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
+def native_values(text: Column, kind: str) -> Column:
+    """All values of a kind, in order."""
+    none = F.array().cast("array<string>")
+    return F.when(_may_have(text, kind), F.regexp_extract_all(text, F.lit(NATIVE[kind][0]), 0)).otherwise(none)
+
+
 def native_count(text: Column, kind: str) -> Column:
-    return F.regexp_count(text, F.lit(NATIVE[kind])).cast("long")
+    return F.when(text.isNotNull(), F.when(_may_have(text, kind), F.regexp_count(text, F.lit(NATIVE[kind][0]))).otherwise(0).cast("long"))
 
 
 def native_redact(text: Column, kinds: tuple[str, ...] = ("email", "ipv4", "phone")) -> Column:
     """Values of ``kinds`` replaced by the kind in brackets."""
     for kind in kinds:
-        text = F.regexp_replace(text, NATIVE[kind], f"[{kind.upper()}]")
+        text = F.when(_may_have(text, kind), F.regexp_replace(text, NATIVE[kind][0], f"[{kind.upper()}]")).otherwise(text)
     return text
 
 

@@ -87,7 +87,7 @@ STREET = re.compile(
     re.I,
 )
 # A company suffix, and what may stand in the words before it.
-SUFFIX = re.compile(r"(?:S\.?[ \t]+A\.?|S\.A\.?|SAS|L\.?T\.?D\.?|L\.L\.C\.?|I\.?N\.?C\.?|C\.?O\.?R\.?P\.?|GmbH)(?!\w)", re.I)
+SUFFIX_TEXT = r"(?:S\.?[ \t]+A\.?|S\.A\.?|SAS|L\.?T\.?D\.?|L\.L\.C\.?|I\.?N\.?C\.?|C\.?O\.?R\.?P\.?|GmbH)(?!\w)"
 COMPANY_START = re.compile(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]", re.I)
 COMPANY_PART = re.compile(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9&.'’-]", re.I)
 COMPANY_WORDS = 6

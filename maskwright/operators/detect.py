@@ -36,6 +36,28 @@ _CUT = re.compile(r"https?://|\b[\w.+-]+@[\w.-]+\.", re.I)
 _TRIM = " \t\r\n\"'“”«»`()[]{}<>*_~"
 
 
+class _Hints:
+    """What a text holds at all, looked up once; a pattern that needs what is missing is not tried."""
+
+    def __init__(self, text: str):
+        self.folded = text.casefold()
+        # letters that match i without folding to it
+        self.any = "\u0131" in text or "\u0130" in text
+        self.digits = _DIGIT.search(text) is not None
+
+    def has(self, stems: tuple[str, ...]) -> bool:
+        return self.any or any(stem in self.folded for stem in stems)
+
+
+_DIGIT = re.compile(r"\d")
+_ACCOUNT_STEMS = ("cuenta", "account", "iban", "swift")
+_IDENTIFIER_STEMS = ("id", "ruc", "pasaporte", "passport")
+_ADDRESS_STEMS = ("direcci", "domicilio", "address", "residenc")
+_LOCATION_STEMS = ("ubicaci", "lugar", "localizaci", "location", "city", "ciudad", "country", "pa")
+_VALUE_STEMS = ("valor", "value", "dat")
+_COMPANY_STEMS = ("empresa", "compa", "sociedad", "corporaci", "proveedor", "cliente", "organization", "vendor", "supplier", "bank", "banco")
+
+
 def clean(value: str) -> str:
     """A field's value without what follows a web or mail address, and without delimiters around."""
     m = _CUT.search(value)
@@ -71,15 +93,15 @@ def _accounts(text: str) -> list[tuple[int, int]]:
     return [m.span("value") for m in V.ACCOUNT.finditer(text) if _compact(m["value"]) >= 8 and not _is_placeholder_head(text, m)]
 
 
-def _numbers(text: str, structure: Structure) -> Iterator[Found]:
+def _numbers(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
     reason = "deterministic pattern"
     for m in V.EMAIL.finditer(text) if "@" in text else ():
         yield "email", *m.span(), 0.99, reason, True
-    for m in V.PHONE.finditer(text):
+    for m in V.PHONE.finditer(text) if hints.digits else ():
         if not label_before(text, m.start(), V.IDENTIFIER_LABELS):
             yield "phone", *m.span(), 0.99, reason, True
-    accounts = _accounts(text)
-    for m in V.IDENTIFIER.finditer(text):
+    accounts = _accounts(text) if hints.has(_ACCOUNT_STEMS) else []
+    for m in V.IDENTIFIER.finditer(text) if hints.digits else ():
         start, end = m.span()
         at = bisect_right(accounts, (start, len(text)))  # accounts are apart and in order
         if at and accounts[at - 1][0] <= start and end <= accounts[at - 1][1]:
@@ -87,25 +109,25 @@ def _numbers(text: str, structure: Structure) -> Iterator[Found]:
         value = m[0].strip()
         if not (V.DATE.fullmatch(value) or V.PHONE.fullmatch(value) or V.CURRENCY_BEFORE.search(text[max(0, start - 6) : start])):
             yield "id_or_ruc", start, end, 0.99, reason, True
-    for m in V.IDENTIFIER_FIELD.finditer(text):
+    for m in V.IDENTIFIER_FIELD.finditer(text) if hints.has(_IDENTIFIER_STEMS) else ():
         if not _is_placeholder_head(text, m):
             yield "id_or_ruc", *_cleaned(text, *m.span("value")), 0.99, "identifier label", True
     for span in accounts:
         yield "account", *span, 0.96, "account label", True
-    for m in V.DATE.finditer(text):
+    for m in V.DATE.finditer(text) if hints.digits else ():
         told = V.DATE_WORDS.search(text[max(0, m.start() - V.LOOK_BACK) : m.start()].casefold())
         yield "date", *m.span(), 0.93 if told else 0.90, "identity-associated date" if told else "date pattern", True
 
 
-def _streets(text: str, structure: Structure) -> Iterator[Found]:
+def _streets(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
     for m in V.STREET.finditer(text):
         start, end = _cleaned(text, *m.span())
         if len(X.words(text[start:end])) >= 2:
             yield "address", start, end, 0.91, "address pattern", True
 
 
-def _field(kind: str, pattern: re.Pattern[str], least: int, most: int, confidence: float, reason: str, text: str, structure: Structure) -> Iterator[Found]:
-    for m in pattern.finditer(text):
+def _field(kind: str, pattern: re.Pattern[str], stems: tuple[str, ...], least: int, most: int, confidence: float, reason: str, text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
+    for m in pattern.finditer(text) if hints.has(stems) else ():
         if _is_placeholder_head(text, m):
             continue
         start, end = _cleaned(text, *m.span("value"))
@@ -115,6 +137,15 @@ def _field(kind: str, pattern: re.Pattern[str], least: int, most: int, confidenc
             yield kind, start, end, confidence, reason, True
 
 
+def _in_both_cases(pattern: str) -> str:
+    """``pattern`` with a class for each letter: as ignoring case, but a search can skip to the first letters."""
+    more = {"s": "\u017f", "i": "\u0130\u0131", "k": "\u212a"}
+    return re.sub(r"\\.|\[[^\]]*\]|[A-Za-z]", lambda m: f"[{m[0].upper()}{m[0].lower()}{more.get(m[0].lower(), '')}]" if m[0].isalpha() else m[0], pattern)
+
+
+_SUFFIX = re.compile(_in_both_cases(V.SUFFIX_TEXT))
+
+
 def company_spans(text: str) -> Iterator[tuple[int, int]]:
     """Up to six words and a company suffix, leftmost start first, as far as six words reach.
 
@@ -124,7 +155,7 @@ def company_spans(text: str) -> Iterator[tuple[int, int]]:
     """
     reach: dict[int, int] = {}
     at = 0
-    while s := V.SUFFIX.search(text, at):
+    while s := _SUFFIX.search(text, at):
         for start in _company_starts(text, s.start()):
             reach[start] = s.end()
         at = s.start() + 1
@@ -149,7 +180,7 @@ def _company_starts(text: str, at: int) -> Iterator[int]:
             return  # nothing can join words across what stands here
 
 
-def _companies(text: str, structure: Structure) -> Iterator[Found]:
+def _companies(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
     for a, b in company_spans(text):
         inside, told = structure.in_tag(a, b)
         raw = text[a:b]
@@ -179,21 +210,22 @@ def _token(m: re.Match[str]) -> _Token:
     )
 
 
-def _names(text: str, structure: Structure) -> Iterator[Found]:
+def _names(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
     """Phrases of two to four name tokens that look like a person's name."""
     raw = list(V.NAME_TOKEN.finditer(text))
-    joined = [bool(V.NAME_JOINT.fullmatch(text, a.end(), b.start())) for a, b in zip(raw, raw[1:], strict=False)]
-    folded = text.casefold()
-    may_be_labelled = any(label in folded for label in V.NAME_LABELS)
+    labelled = hints.has(_NAME_LABELS)
+    # where no label stands anywhere, a phrase starts and ends with a capital
+    first = range(len(raw) - 1) if labelled else [i for i, m in enumerate(raw[:-1]) if not _small(text, m.start())]
     tokens: dict[int, _Token] = {}
-    for i, first in enumerate(raw):
+    for i in first:
+        start = raw[i].start()
         for j in range(i + 1, min(i + 4, len(raw))):
-            if not joined[j - 1]:
+            if not V.NAME_JOINT.fullmatch(text, raw[j - 1].end(), raw[j].start()):
                 break
-            if not may_be_labelled and (_small(text, first.start()) or _small(text, raw[j].start())):
-                continue  # neither title nor capitals, and no label anywhere
+            if not labelled and _small(text, raw[j].start()):
+                continue
             parts = [tokens[k] if k in tokens else tokens.setdefault(k, _token(raw[k])) for k in range(i, j + 1)]
-            start, end = first.start(), raw[j].end()
+            end = raw[j].end()
             if verdict := _plausible(text, start, end, parts, structure):
                 confidence, automatic = verdict
                 inside, told = structure.in_tag(start, end)
@@ -202,6 +234,9 @@ def _names(text: str, structure: Structure) -> Iterator[Found]:
                     yield "person" if automatic else "possible_person", start, start + len(text[start:end].strip(V.EDGE)), confidence, reason, automatic
 
 
+_NAME_LABELS = tuple(sorted(V.NAME_LABELS))
+
+
 def _small(text: str, at: int) -> bool:
     """Whether a word of several characters starts in lower case here."""
     return text[at].islower() and text[at + 1].isalnum()
@@ -229,10 +264,10 @@ def _plausible(text: str, start: int, end: int, parts: list[_Token], structure:
 DETECTORS = (
     _numbers,
     _streets,
-    partial(_field, "address", V.ADDRESS_FIELD, 2, 12, 0.97, "address label"),
-    partial(_field, "location", V.LOCATION_FIELD, 1, 8, 0.94, "location label"),
-    partial(_field, "value", V.VALUE_FIELD, 1, 10, 0.88, "value label"),
-    partial(_field, "organization", V.COMPANY_FIELD, 1, 10, 0.95, "organization label"),
+    partial(_field, "address", V.ADDRESS_FIELD, _ADDRESS_STEMS, 2, 12, 0.97, "address label"),
+    partial(_field, "location", V.LOCATION_FIELD, _LOCATION_STEMS, 1, 8, 0.94, "location label"),
+    partial(_field, "value", V.VALUE_FIELD, _VALUE_STEMS, 1, 10, 0.88, "value label"),
+    partial(_field, "organization", V.COMPANY_FIELD, _COMPANY_STEMS, 1, 10, 0.95, "organization label"),
     _companies,
     _names,
 )
@@ -242,10 +277,10 @@ def detect(text: str | None, include_low_confidence: bool = True, safe_domains:
     """All sensitive spans of a text."""
     if not text:
         return []
-    structure = Structure(text)
+    structure, hints = Structure(text), _Hints(text)
     best: dict[tuple[str, int, int], Detection] = {}
     for detector in DETECTORS:
-        for kind, start, end, confidence, reason, automatic in detector(text, structure):
+        for kind, start, end, confidence, reason, automatic in detector(text, structure, hints):
             value = text[start:end].strip()
             if not value or X.is_safe(kind, value, safe_domains) or not (automatic or include_low_confidence):
                 continue

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -76,8 +77,8 @@ def gated(results: DataFrame, options: Options) -> DataFrame:
     return out.withColumns({"problems": F.when(bad, F.array(F.concat(F.lit("not read: "), "error"))).otherwise(F.col("problems")), "status": F.when(bad, "refused").otherwise(F.col("status"))})
 
 
-def reports(results: DataFrame, options: Options) -> DataFrame:
-    """(path, report): one JSON report per document; safe ones hold no value of the source."""
+def reports(results: DataFrame, options: Options, *more: str) -> DataFrame:
+    """(path, report) and the columns ``more``: one JSON report per document; safe ones hold no value of the source."""
     rule = lambda i: f"rule-{i + 1:04d}"
     rules = []
     for i, r in enumerate(options.rules):
@@ -100,22 +101,36 @@ def reports(results: DataFrame, options: Options) -> DataFrame:
         F.lit(0).alias("visual_redactions"), F.lit(False).alias("visual_review_required"), F.struct(*(F.lit(v).alias(k) for k, v in ner.items())).alias("ner"),
         (F.transform("suggestions", safe) if options.safe_report else F.col("suggestions")).alias("suggestions"),
     )
-    return results.select("path", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
+    return results.select("path", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"), *more)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # Spark has no public call that deletes in any store
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def run_corpus(spark: SparkSession, source: str, output: str, report: str | None = None, options: Options = Options(), glob: str | None = None) -> DataFrame:
     """Anonymizes all files below ``source``; writes passed documents to ``output`` and all reports to ``report`` as tables.
 
-    Returns (path, status, problems).  Refused documents are never written.
+    Returns (path, status, problems), kept in ``output``/_status, which readers
+    of ``output`` do not see.  Neither text nor suggestions of refused documents
+    are ever written, and the staged table is removed whatever happens.
     """
-    check_paths(source, [output], report)
-    staged = f"{output.rstrip('/')}.staged"
-    gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan, options.ner), options).write.mode("overwrite").parquet(staged)
-    done = spark.read.parquet(staged)
-    done.filter("status = 'passed'").select("path", "label", "text").write.parquet(output)
-    if report is not None:
-        reports(done, options).write.parquet(report)
-    return done.select("path", "status", "problems")
+    staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    check_paths(source, [output, staged], report)
+    results = gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan, options.ner), options)
+    told = reports(results, options, "status", "problems", "label", "text")
+    passed = F.col("status") == "passed"
+    try:
+        told.select("path", "status", "problems", *(F.when(passed, F.col(c)).alias(c) for c in ("label", "text")), F.when(passed | F.lit(options.safe_report), F.col("report")).alias("report")).write.parquet(staged)
+        done = spark.read.parquet(staged)
+        done.filter(passed).select("path", "label", "text").write.parquet(output)
+        done.select("path", "status", "problems").write.parquet(f"{output.rstrip('/')}/_status")
+        if report is not None:
+            done.select("path", "report").write.parquet(report)
+    finally:
+        _delete(spark, staged)
+    return spark.read.parquet(f"{output.rstrip('/')}/_status")
 
 
 def shown(suggestions: Sequence) -> list[str]:

@@ -13,7 +13,6 @@ from ..operators import relations as R
 from ..operators.matching import Rule
 from ..operators.physical import spread
 from ..operators.select import choose_column, splice_column
-from .pipeline import Options, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +40,7 @@ RULES = (Rule("token", "credential", fuzzy_threshold=0.0), Rule("MIT License", "
 @query()
 def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: whole documents anonymized under rules, with counts."""
-    out = O.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), RULES, rescan=False)
+    out = O.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), RULES)
     n = F.coalesce(F.aggregate("result.automatic", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
     return out.select("doc_id", F.col("result.text").alias("text"), F.array_join("result.matches", ",").alias("rule_matches"), n.alias("n_automatic"), F.size("result.suggestions").cast("long").alias("n_suggestions"))
 
@@ -53,101 +52,84 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "d.kind", "d.value", "d.start", "d.end", "d.confidence", "d.reason", "d.automatic")
 
 
-@query()
-def detections_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(O.detect_spans()("text")).alias("d")).select("d.*")
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
-
-
 @query()
 def anonymize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as units of one document, numbered through it."""
     units = spread(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_no"), F.lit(None).cast("string").alias("markup"), "text")
-    return O.anonymize_units(units, rescan=False).select("doc_id", "unit_no", "text")
+    return O.anonymize_units(units).select("doc_id", "unit_no", "text")
 
 
 @query()
 def anonymize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML pages anonymized in their visible text and attributes, tags kept."""
-    out = O.anonymize(spread(table(spark, sf_dir, "pages").select("page_id", "html")), (), text="html", markup="html", rescan=False)
+    out = O.anonymize(spread(table(spark, sf_dir, "pages").select("page_id", "html")), (), text="html", markup="html")
     return out.select("page_id", F.col("result.text").alias("html"))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT page_id, regexp_replace(html, '<[^>]*>', chr(1), 'g') AS t FROM pages)
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '^\x01+', ''), '(\s)\x01+', '\1', 'g'), '\x01+', ' ', 'g') AS visible FROM m"""
+)
 def visible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", O.visible_text("html")("html").alias("visible"))
 
 
-@query()
-def structure_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(O.structural_spans()("text")).alias("s"))
-    return spans.select("doc_id", "s.start", "s.end", "s.opener", "s.depth", "s.balanced")
-
-
-@query()
-def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Safe JSON reports of whole documents."""
-    out = O.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), RULES)
-    rows = out.select(F.col("doc_id").cast("string").alias("path"), F.format_string("DOCUMENT-%06d", "doc_id").alias("label"), "result.*")
-    return reports(rows, Options(RULES))
-
-
-@query()
-def fuzzy_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names under a rule that is misspelt."""
-    name = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    source = name.agg(F.min("name").alias("s")).first().s or "part"
-    out = O.anonymize(name, (Rule(source[:-1] + "x", "Demo Part", fuzzy_threshold=0.8),), text="name", rescan=False)
-    return out.select("name", F.col("result.text").alias("replaced"), F.col("result.matches")[0].alias("matches"))
+# An engine without look-arounds needs a character on either side of a value for itself, so the SQL doubles those that may stand between two.
+_BETWEEN = r"([^\p{L}\p{N}_.%+@-])"
+_SQL_PATTERNS = (
+    ("email", r"(?:^|[^\p{L}\p{N}_.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63})(?:$|[^\p{L}\p{N}_.-])"),
+    ("id_or_ruc", r"(?:^|[^\p{L}\p{N}_.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:$|\.(?:$|[^0-9])|[^\p{L}\p{N}_.])"),
+    ("account", r"(?:^|[^\p{L}\p{N}_-])([0-9]{13,19})(?:$|[^\p{L}\p{N}_-])"),
+)
 
 
-_EMAIL = r"(?:^|[^\p{L}\p{N}_.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63})(?:$|[^\p{L}\p{N}_.-])"
-_IPV4 = r"(?:^|[^\p{L}\p{N}_.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:$|[^\p{L}\p{N}_.])"
-_CARD = r"(?:^|[^\p{L}\p{N}_-])([0-9]{13,19})(?:$|[^\p{L}\p{N}_-])"
+def _doubled(text: str) -> str:
+    return f"regexp_replace({text}, '{_BETWEEN}', '\\1\\1', 'g')"
 
 
 def _found(table: str, key: str, text: str) -> str:
-    return " UNION ALL ".join(f"SELECT {key} AS doc_id, '{k}' AS kind, unnest(regexp_extract_all({text}, '{p}', 1)) AS value FROM {table}" for k, p in (("email", _EMAIL), ("id_or_ruc", _IPV4), ("account", _CARD)))
+    return " UNION ALL ".join(f"SELECT {key} AS doc_id, '{k}' AS kind, unnest(regexp_extract_all({_doubled(text)}, '{p}', 1)) AS value FROM {table}" for k, p in _SQL_PATTERNS)
 
 
 def _native(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, ord, kind, value) of mail addresses, dotted numbers and long numbers, without Python."""
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def of(kind: str, native: str) -> Column:
+        return F.transform(C.native_values(F.col(text), native), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    found = [of("email", _EMAIL), of("id_or_ruc", _IPV4), of("account", _CARD)]
-    return df.select(F.col(key).alias("doc_id"), F.posexplode(F.concat(*found)).alias("ord", "d")).select("doc_id", "ord", "d.kind", "d.value")
+    found = F.concat(of("email", "email"), of("id_or_ruc", "ipv4"), of("account", "number"))
+    return df.select(F.col(key).alias("doc_id"), F.posexplode(found).alias("ord", "d")).select("doc_id", "ord", "d.kind", "d.value")
 
 
 @query(f"SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM ({_found('documents', 'doc_id', 'text')}) GROUP BY kind")
 def native_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _native(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = _native(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(f"SELECT doc_id, kind, value FROM ({_found('pages', 'page_id', 'html')})")
 def native_page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _native(table(spark, sf_dir, "pages"), "page_id", "html").select("doc_id", "kind", "value")
+    return _native(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html").select("doc_id", "kind", "value")
 
 
 @query(
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([^\p{L}\p{N}_.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}', '\1[EMAIL]', 'g'),
-    '([^\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}', '\1[ID]', 'g')) AS redacted_sha256 FROM documents"""
+    f"""WITH t AS (SELECT doc_id, {_doubled("text")} AS t FROM documents),
+    r AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}_.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,63}}($|[^\\p{{L}}\\p{{N}}_.-])', '\\1[[EMAIL]]\\2', 'g'),
+      '(^|[^\\p{{L}}\\p{{N}}_.])[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}($|\\.$|\\.[^0-9]|[^\\p{{L}}\\p{{N}}_.])', '\\1[[IPV4]]\\2', 'g') AS t FROM t)
+    SELECT doc_id, sha256(regexp_replace(t, '([^\\p{{L}}\\p{{N}}_.%+@-])([^\\p{{L}}\\p{{N}}_.%+@-])', '\\1', 'g')) AS redacted_sha256 FROM r"""
 )
 def native_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace("text", r"([^\p{L}\p{N}_.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}", "$1[EMAIL]")
-    text = F.regexp_replace(text, r"([^\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "$1[ID]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("redacted_sha256"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.sha2(C.native_redact(F.col("text"), ("email", "ipv4")), 256).alias("redacted_sha256"))
 
 
 @query(
-    r"""SELECT doc_id, len(w) AS n_tokens, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS n_distinct, lower(regexp_replace(substring(text, 1, 40), '[^\p{L}\p{N}]+', '', 'g')) AS head
+    r"""SELECT doc_id, len(w) AS n_tokens, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS n_distinct, sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS squeezed_sha256
     FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents)"""
 )
 def tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", C.words(F.col("text")).alias("w"))
-    return df.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct(F.transform("w", F.lower))).cast("long").alias("n_distinct"), C.squeeze(F.substring("text", 1, 40)).alias("head"))
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", C.words(F.col("text")).alias("w"))
+    return df.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct(F.transform("w", F.lower))).cast("long").alias("n_distinct"), F.sha2(C.squeeze(F.col("text")), 256).alias("squeezed_sha256"))
 
 
 @query(
@@ -264,7 +246,7 @@ def trimmed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct findings per document, at most 80."""
-    found = R.top_suggestions(_native(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = R.top_suggestions(_native(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"))
     return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_suggestions"))
 
 
@@ -273,7 +255,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_found('documents', 'doc_id', 'text')}) GROUP BY kind"""
 )
 def automatic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.automatic_report(_native(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return R.automatic_report(_native(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"))
 
 
 @query(
@@ -283,7 +265,7 @@ def automatic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     concat_ws('; ', CASE WHEN n + m = 0 THEN 'zero replacements/redactions matched' END, CASE WHEN m = 0 THEN 'rules with zero matches: rule-001' END) AS problems FROM d"""
 )
 def safety_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = _native(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_automatic"))
     rows = docs.select("doc_id", F.array(F.regexp_count("text", F.lit("License")).cast("long")).alias("matches"), F.array(F.lit(0).cast("long")).alias("absorbed"), F.lit(0).alias("n_suggestions"))
     rows = rows.join(n, "doc_id", "left").na.fill(0, ["n_automatic"])
