@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import os
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -119,19 +120,39 @@ def redactions(rules: Sequence[Rule] = (), header: float = 0, header_text: str =
     return run
 
 
+# Fonts in the order in which they are tried, margins, and sizes of text in a covered box.
+FONTS = ("/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf", "/System/Library/Fonts/Supplemental/Arial.ttf", "/Library/Fonts/Arial.ttf")
+MARGIN, FIRST_SHARE, FIRST_LEAST, LEAST_SIZE = (3, 2), 0.85, 8, 6
+
+
+def load_font(size: int):
+    """The first font that is there, else Pillow's own."""
+    from PIL import ImageFont
+
+    found = next((f for f in FONTS if os.path.exists(f)), None)
+    return ImageFont.truetype(found, size=size) if found else ImageFont.load_default(size)
+
+
+def fitting(size: tuple[int, int], measure: Callable[[int], tuple[float, float]]) -> int:
+    """The font size for a box of ``size``: from most of its height down until the text, as ``measure`` tells, is inside the margins."""
+    width, height = (max(1, side - 2 * margin) for side, margin in zip(size, MARGIN, strict=True))
+    first = max(FIRST_LEAST, int(height * FIRST_SHARE))
+    return next((n for n in range(first, LEAST_SIZE, -1) if all(a <= b for a, b in zip(measure(n), (width, height), strict=True))), LEAST_SIZE)
+
+
 def draw(image, covers: Iterable[Redaction], fill: str = "#ffffff", ink: str = "#111111"):
-    """A Pillow image with the redactions drawn; text shrinks to fit, down to size 6."""
-    from PIL import ImageDraw, ImageFont
+    """A Pillow image with the redactions drawn, their texts as large as fits."""
+    from PIL import ImageDraw
 
     image = image.convert("RGB")
     canvas = ImageDraw.Draw(image)
     for r in covers:
-        box = (r.left, r.top, r.right, r.bottom)
-        canvas.rectangle(box, fill=parse_color(fill))
-        for size in range(max(6, r.bottom - r.top - 2), 5, -1):
-            font = ImageFont.load_default(size)
-            left, top, right, bottom = canvas.textbbox((0, 0), r.text, font=font)
-            if size == 6 or (right - left <= r.right - r.left and bottom - top <= r.bottom - r.top):
-                canvas.text(((r.left + r.right - right - left) / 2, (r.top + r.bottom - bottom - top) / 2), r.text, fill=parse_color(ink), font=font)
-                break
+        canvas.rectangle((r.left, r.top, r.right, r.bottom), fill=parse_color(fill))
+
+        def measure(size: int, text: str = r.text) -> tuple[float, float]:
+            left, top, right, bottom = canvas.textbbox((0, 0), text, font=load_font(size))
+            return right - left, bottom - top
+
+        size = fitting((r.right - r.left, r.bottom - r.top), measure)
+        canvas.text((r.left + MARGIN[0], r.top + MARGIN[1]), r.text, fill=parse_color(ink), font=load_font(size))
     return image

@@ -212,8 +212,10 @@ def _token(m: re.Match[str]) -> _Token:
 
 def _names(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
     """Phrases of two to four name tokens that look like a person's name."""
-    raw = list(V.NAME_TOKEN.finditer(text))
     labelled = hints.has(_NAME_LABELS)
+    if not labelled and not _CAPITAL_PAIR.search(text):
+        return
+    raw = list(V.NAME_TOKEN.finditer(text))
     # where no label stands anywhere, a phrase starts and ends with a capital
     first = range(len(raw) - 1) if labelled else [i for i, m in enumerate(raw[:-1]) if not _small(text, m.start())]
     tokens: dict[int, _Token] = {}
@@ -235,6 +237,9 @@ def _names(text: str, structure: Structure, hints: _Hints) -> Iterator[Found]:
 
 
 _NAME_LABELS = tuple(sorted(V.NAME_LABELS))
+# Two name tokens in a row, each with a capital first or a single letter and an apostrophe or hyphen.
+_LETTERS, _FIRST = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ'’\\-", "(?:[A-ZÁÉÍÓÚÜÑ]|[a-záéíóúüñ](?=['’\\-]))"
+_CAPITAL_PAIR = re.compile(rf"{_FIRST}[{_LETTERS}]{{1,30}}(?:{V.NAME_JOINT.pattern}){_FIRST}[{_LETTERS}]")
 
 
 def _small(text: str, at: int) -> bool:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from .select import Edit
+from .select import Apart, Edit
 from .structure import Structure
 
 
@@ -41,6 +45,34 @@ class Matcher:
         self.window = min(8, max(1, len(X.words(rule.source)) + 3))
         self.known = dict.fromkeys(map(ord, self.source))
         self.longest = max(len(self.source) + 6, int(len(self.source) * 1.45))
+        size = self._shared_run()
+        self.runs = re.compile(f"(?=({'|'.join(sorted({re.escape(self.source[i : i + size]) for i in range(len(self.source) - size + 1)}))}))") if size else None
+        self.run = size
+
+    def _shared_run(self) -> int:
+        """How many characters of the source in a row every window at the threshold has at least; 0 if no useful number.
+
+        A ratio t of lengths a and b leaves at most (a + b)(1 - t) characters
+        unmatched, and the matched ones fall into one block more at most.
+        """
+        size, t = len(self.source), self.rule.fuzzy_threshold
+        least = size
+        for length in range(1, self.longest + 1):
+            if size and 2 * min(length, size) >= t * (length + size) - 1e-9:
+                matched, free = t * (length + size) / 2, int((length + size) * (1 - t) + 1e-9)
+                least = min(least, math.ceil(matched / (free + 1) - 1e-9))
+        return least if least > 1 else 0
+
+    def _starts(self, keys: list[str]) -> Iterable[int]:
+        """Words at which a window can begin that has a run of the source."""
+        if self.runs is None:
+            return range(len(keys))
+        places = list(accumulate(map(len, keys), initial=0))
+        out: dict[int, None] = {}
+        for m in self.runs.finditer("".join(keys)):
+            to = bisect_right(places, m.start())
+            out.update(dict.fromkeys(range(bisect_left(places, m.start() + self.run - self.longest), min(to, len(keys)))))
+        return sorted(out)
 
     def _edit(self, text: str, start: int, end: int, priority: int) -> Edit:
         return Edit(start, end, self.rule.replacement(text[start:end]), "rule", self.index, priority)
@@ -58,13 +90,14 @@ class Matcher:
         if not rule.case_sensitive:
             keys = [k.casefold() for k in keys]
         # characters of a word that the source has at all bound what can match
-        useful = [len(k) - len(k.translate(self.known)) for k in keys]
+        useful = lru_cache(None)(lambda key: len(key) - len(key.translate(self.known)))
         matcher = SequenceMatcher(None, "", self.source)
-        for i, (start, _) in enumerate(spans):
+        for i in self._starts(keys):
+            start = spans[i][0]
             length = shared = 0
             for j in range(i, min(len(spans), i + self.window)):
                 length += len(keys[j])
-                shared += useful[j]
+                shared += useful(keys[j])
                 if length > self.longest:
                     break
                 if 2 * min(shared, size) < rule.fuzzy_threshold * (length + size) - 1e-9:
@@ -82,19 +115,20 @@ class Matcher:
         """Windows that resemble the source; among overlapping ones the most similar, then shortest."""
         if self.rule.fuzzy_threshold <= 0 or len(self.source) < V.FUZZY_LEAST:
             return []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # apart, in order
         for _, start, end in sorted(self._alike(text, structure or Structure(text)), key=lambda s: (-s[0], s[2] - s[1], s[1])):
-            if all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
-        return [self._edit(text, a, b, V.FUZZY_PRIORITY) for a, b in sorted(taken)]
+            at = bisect_left(taken, (start, end))
+            if not (at and taken[at - 1][1] > start or at < len(taken) and taken[at][0] < end):
+                taken.insert(at, (start, end))
+        return [self._edit(text, a, b, V.FUZZY_PRIORITY) for a, b in taken]
 
 
 def rule_edits(text: str, matchers: Sequence[Matcher]) -> list[Edit]:
     """All rules' edits, but for those that would cut into an e-mail address."""
     structure = Structure(text)
     found = [e for m in matchers for e in (*m.exact(text), *m.fuzzy(text, structure))]
-    mails = [m.span() for m in V.EMAIL.finditer(text)] if "@" in text else []
-    return [e for e in found if not any(e.start < b and a < e.end and not (e.start <= a and b <= e.end) for a, b in mails)]
+    mails = Apart(m.span() for m in V.EMAIL.finditer(text)) if "@" in text else Apart([])
+    return [e for e in found if all(e.start <= a and b <= e.end for a, b in mails.met(e.start, e.end))]
 
 
 class WordBox(NamedTuple):

@@ -37,16 +37,30 @@ def corpus_placeholders(values: DataFrame, key: str, digits: int = 16) -> DataFr
     return values.withColumn("placeholder", F.concat(C.prefix_of(F.col("kind")), F.lit("-"), F.substring(digest, 1, digits)))
 
 
+def _reach(spans: DataFrame, by: DataFrame, at: Column, first: int) -> tuple[DataFrame, Column]:
+    """``spans`` with ``_reach``: how far the spans of ``by`` go that start before ``at`` (or, with ``first`` 0, at it) in the same document.
+
+    One sweep over each document's places, whatever the number of spans.
+    """
+    rows = spans.withColumns({"_at": at.cast("long"), "_by": F.lit(1 - first), "_to": F.lit(None).cast("long")})
+    marks = by.select("doc_id", F.col("start").cast("long").alias("_at"), F.lit(first).alias("_by"), F.col("end").cast("long").alias("_to"), F.lit(True).alias("_mark"))
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    sweep = Window.partitionBy("doc_id").orderBy("_at", "_by").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_reach", F.when(F.col("doc_id").isNotNull(), F.max("_to").over(sweep))).filter(~F.col("_mark"))
+    return swept.select(*spans.columns, "_reach"), F.col("_reach")
+
+
 def not_overlapped(spans: DataFrame, by: DataFrame) -> DataFrame:
-    """Spans (doc_id, start, end) that no span of ``by`` overlaps: an anti-join within documents."""
-    b = by.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return spans.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    """Spans (doc_id, start, end) that no span of ``by`` overlaps; a null document is no document."""
+    # the spans that start before the end: does one of them go beyond the start?
+    swept, reach = _reach(spans, by, F.col("end"), 1)
+    return swept.filter(reach.isNull() | (reach <= F.col("start"))).drop("_reach")
 
 
 def not_contained(spans: DataFrame, by: DataFrame) -> DataFrame:
     """Spans that no span of ``by`` contains."""
-    b = by.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return spans.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), "left_anti")
+    swept, reach = _reach(spans, by, F.col("start"), 0)
+    return swept.filter(reach.isNull() | (reach < F.col("end"))).drop("_reach")
 
 
 def unprotected(values: DataFrame, targets: DataFrame) -> DataFrame:
@@ -104,10 +118,8 @@ def cell_contexts(cells: DataFrame) -> DataFrame:
 
 def trim_edges(cells: DataFrame) -> DataFrame:
     """Without the empty rows and columns at the end of each table; leading ones stay."""
-    whole = Window.partitionBy("doc_id")
-    full = F.coalesce(F.col("value"), F.lit("")) != ""
-    out = cells.withColumns({f"_{c}": F.max(F.when(full, F.col(c))).over(whole) for c in ("row_idx", "col_idx")})
-    return out.filter((F.col("row_idx") <= F.col("_row_idx")) & (F.col("col_idx") <= F.col("_col_idx"))).drop("_row_idx", "_col_idx")
+    ends = cells.filter("value <> ''").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("row_idx").alias("_row"), F.max("col_idx").alias("_col"))
+    return cells.join(ends, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_idx") <= F.col("_row")) & (F.col("col_idx") <= F.col("_col"))).select(*cells.columns)
 
 
 def markdown_tables(cells: DataFrame) -> DataFrame:

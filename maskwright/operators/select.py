@@ -21,6 +21,28 @@ class Edit(NamedTuple):
     priority: int = 0
 
 
+class Apart:
+    """Stretches, merged where they meet, that others are looked up among by binary search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.spans: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if self.spans and a < self.spans[-1][1]:
+                self.spans[-1] = (self.spans[-1][0], max(b, self.spans[-1][1]))
+            else:
+                self.spans.append((a, b))
+
+    def met(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Those that share a place with ``start`` to ``end``."""
+        at = bisect_left(self.spans, (start,))
+        if at and self.spans[at - 1][1] > start:
+            at -= 1
+        to = at
+        while to < len(self.spans) and self.spans[to][0] < end:
+            to += 1
+        return self.spans[at:to]
+
+
 class Choice(NamedTuple):
     """Edits that stay, in text order, and (loser, winner) pairs."""
 

@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from .detect import Detection, detect
 from .matching import Matcher, Rule, rule_edits
-from .select import Edit, choose, splice
+from .select import Apart, Edit, choose, splice
 from .structure import visible
 
 
@@ -159,19 +159,18 @@ class Session:
             else:
                 edits.append(Edit(d.start, d.end, self.placeholder(d.placeholder_kind, d.value), d.kind, -1, V.PRIORITY.get(d.kind, V.OTHER_PRIORITY)))
         chosen = choose(edits).selected
+        taken = Apart((e.start, e.end) for e in chosen)
         for d in waiting:
-            if all(d.end <= e.start or e.end <= d.start for e in chosen):
+            if not taken.met(d.start, d.end):
                 self.suggest(d)
         self.automatic.update(e.kind for e in chosen)
         return chosen
 
     def _detected(self, text: str) -> list[Edit]:
         """Detections outside what rules have put in, which is blanked for the detectors."""
-        done = sorted(m.span() for t in self._targets for m in t.finditer(text))
-        masked = text
-        for a, b in done:
-            masked = masked[:a] + " " * (b - a) + masked[b:]
-        found = (d for d in detect(masked, safe_domains=self.safe_domains) if not any(d.start < b and a < d.end for a, b in done))
+        done = Apart(m.span() for t in self._targets for m in t.finditer(text))
+        masked = splice(text, [Edit(a, b, " " * (b - a), "") for a, b in done.spans])
+        found = (d for d in detect(masked, safe_domains=self.safe_domains) if not done.met(d.start, d.end))
         return self._apply_detections(found, lambda d: not d.automatic)
 
     def _entities(self, text: str) -> list[Edit]:

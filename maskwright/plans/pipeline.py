@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators.matching import Rule
 from ..operators.relations import gate
-from ..sources.files import anonymize_files, read_files
+from ..sources.files import Reading, anonymize_files, read_files
 from ..sources.models import NerSpec
 
 
@@ -31,6 +32,7 @@ class Options:
     safe_report: bool = True
     label: str | None = None
     ner: NerSpec | None = None
+    reading: Reading = Reading()
 
     def __post_init__(self) -> None:
         for rule in self.rules:
@@ -92,13 +94,14 @@ def reports(results: DataFrame, options: Options, *more: str) -> DataFrame:
     known = {k: X.first_placeholder(k) for k in V.PRIORITY}
     form = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     ner = options.ner.report() if options.ner else {"enabled": False}
+    visual = "n_redactions" in results.columns
     report = F.struct(
         F.col("label").alias("document_label"),
         (F.array(*rules) if rules else F.array().cast("array<string>")).alias("rules"),
         F.coalesce(F.aggregate("matches", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("total_rule_matches"),
         F.transform("automatic", lambda a: F.struct(a["kind"].alias("kind"), a["n"].alias("matches"), form[a["kind"]].alias("replacement"), F.lit("replaced").alias("status"))).alias("automatic"),
         F.transform("events", lambda e: F.struct(e["absorbed_rule"].alias("absorbed_rule"), e["winner"].alias("winner"), F.lit("overlapping longer span").alias("reason"))).alias("overlap_events"),
-        F.lit(0).alias("visual_redactions"), F.lit(False).alias("visual_review_required"), F.struct(*(F.lit(v).alias(k) for k, v in ner.items())).alias("ner"),
+        (F.col("n_redactions") if visual else F.lit(0)).alias("visual_redactions"), F.lit(visual).alias("visual_review_required"), F.struct(*(F.lit(v).alias(k) for k, v in ner.items())).alias("ner"),
         (F.transform("suggestions", safe) if options.safe_report else F.col("suggestions")).alias("suggestions"),
     )
     return results.select("path", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"), *more)
@@ -118,7 +121,7 @@ def run_corpus(spark: SparkSession, source: str, output: str, report: str | None
     """
     staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex}"
     check_paths(source, [output, staged], report)
-    results = gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan, options.ner), options)
+    results = gated(anonymize_files(read_files(spark, source, glob), options.rules, options.label, options.rescan, options.ner, options.reading), options)
     told = reports(results, options, "status", "problems", "label", "text")
     passed = F.col("status") == "passed"
     try:
@@ -140,45 +143,65 @@ def shown(suggestions: Sequence) -> list[str]:
     return [*lines, f"  ... and {more} more suggestions"] if more else lines
 
 
-def run_images(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), **how) -> list[str]:
-    """Redacts one local PDF file or image to PNG files in a directory; their paths are checked before any page is drawn."""
+def run_images(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), confirm: Callable[[str], bool] = lambda _: False, **how) -> list[str]:
+    """Redacts one local PDF file or image to PNG files in a directory.
+
+    Pages reach the driver one partition, about a page, at a time, and are moved
+    into place only when the whole document has passed; paths are checked before.
+    """
     from ..sources.images import redact_files
 
     folder = output or os.path.join(os.path.dirname(source), "document.masked-images")
     check_paths(source, [folder], report)
-    rows = redact_files(read_files(spark, source), options.rules, options.label, **how).collect()
-    problems = [r.error for r in rows if r.error] or (["zero replacements/redactions matched"] if not options.allow_zero and not any(r.n_redactions for r in rows) else [])
-    if problems:
-        raise Refused("; ".join(problems))
-    paths = [os.path.join(folder, r.name) for r in rows]
-    check_paths(source, paths, report)
-    os.makedirs(folder, exist_ok=True)
-    for path, r in zip(paths, rows, strict=True):
-        with open(path, "wb") as f:
-            f.write(r.png)
+    staged = f"{folder.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows = redact_files(read_files(spark, source), options.rules, options.label, ner=options.ner, **how).repartition("page")
+    os.makedirs(staged)
+    try:
+        names, last = [], None
+        for row in rows.toLocalIterator():
+            if row.png is None:
+                last = row
+                continue
+            names.append(row.name)
+            with open(os.path.join(staged, row.name), "wb") as f:
+                f.write(row.png)
+        done = gated(spark.createDataFrame([last], rows.schema), replace(options, allow_zero=options.allow_zero or last.n_redactions > 0))
+        verdict = done.first()
+        if verdict.status != "passed" and (verdict.error or not confirm("; ".join(verdict.problems))):
+            raise Refused("; ".join(verdict.problems))
+        paths = [os.path.join(folder, name) for name in sorted(names)]
+        check_paths(source, paths, report)
+        os.makedirs(folder, exist_ok=True)
+        for name in names:
+            os.replace(os.path.join(staged, name), os.path.join(folder, name))
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
     if report is not None:
-        with open(report, "w", encoding="utf-8") as f:
-            json.dump({"document_label": X.document_label(options.label), "visual_redactions": sum(r.n_redactions for r in rows), "visual_review_required": True}, f, indent=2)
+        _write_json(report, json.loads(reports(done, options).first().report))
     return paths
 
 
-def run_file(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), suffix: str = ".md", tell: Callable[[str], None] = lambda _: None) -> str:
-    """Anonymizes one local file to a text file, or raises Refused with nothing written."""
+def _write_json(path: str, value: object) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=2, ensure_ascii=False)
+        f.write("\n")
+
+
+def run_file(spark: SparkSession, source: str, output: str | None = None, report: str | None = None, options: Options = Options(), suffix: str = ".md", tell: Callable[[str], None] = lambda _: None, confirm: Callable[[str], bool] = lambda _: False) -> str:
+    """Anonymizes one local file to a text file, or raises Refused with nothing written; ``confirm`` may overrule the gate."""
     target = text_output(source, output, suffix)
     check_paths(source, [target], report)
-    results = anonymize_files(read_files(spark, source), options.rules, X.document_label(options.label), options.rescan, options.ner)
+    results = anonymize_files(read_files(spark, source), options.rules, X.document_label(options.label), options.rescan, options.ner, options.reading)
     row = gated(results, options).first()
     if row.suggestions:
         tell("\n".join(["possible sensitive values still present:", *shown(row.suggestions)]))
-    if row.status != "passed":
+    if row.status != "passed" and (row.text is None or not confirm("; ".join(row.problems))):
         raise Refused("; ".join(row.problems))
     written = reports(spark.createDataFrame([row], gated(results, options).schema), options).first().report if report is not None else None
     os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
     with open(target, "w", encoding="utf-8", newline="") as f:
         f.write(row.text)
     if report is not None:
-        os.makedirs(os.path.dirname(os.path.abspath(report)), exist_ok=True)
-        with open(report, "w", encoding="utf-8") as f:
-            json.dump(json.loads(written), f, indent=2, ensure_ascii=False)
-            f.write("\n")
+        _write_json(report, json.loads(written))
     return target

@@ -6,7 +6,8 @@ import csv
 import importlib.util
 import io
 import posixpath
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +42,64 @@ def require(suffix: str) -> None:
         raise Unsupported(f"missing dependency '{NEEDS[suffix]}' for {suffix} files")
 
 
-def pdf_markdown(content: bytes, session: Session, label: str) -> str:
-    """Text layers, page by page; a page without text says so."""
-    import fitz
+@dataclass(frozen=True)
+class Reading:
+    """How pages of PDF files and pictures are read: recognition as a fallback, or for every page."""
+
+    ocr: bool = False
+    force_ocr: bool = False
+    language: str = "eng+spa"
+    dpi: int = 220
+
+
+# What a page without text says, and what stands above recognised text.
+NO_TEXT = "[No text layer found. Re-run with --ocr after installing Tesseract.]"
+RECOGNISED = "<!-- OCR page: review accuracy before sharing. -->"
+
+
+def page_text(page) -> str:
+    """The text layer, a line for each line that has spans; pages without such a structure give their plain text."""
+    try:
+        blocks = [b for b in page.get_text("dict")["blocks"] if b.get("type") == 0]
+        lines = ("".join(str(s.get("text") or "") for s in line.get("spans", ())) for b in blocks for line in b.get("lines", ()))
+        text = "\n".join(filter(None, lines))
+    except (AttributeError, KeyError, TypeError, ValueError):
+        text = ""
+    return text or str(page.get_text("text") or "")
+
+
+def picture(page, dpi: int):
+    """A page drawn as a picture."""
+    from PIL import Image
+
+    return Image.open(io.BytesIO(page.get_pixmap(dpi=dpi).tobytes("png")))
 
+
+def pages_markdown(pages: Iterable, session: Session, label: str, how: Reading, recognise: Callable) -> str:
+    """Pages one after the other; ``recognise`` turns a page into text where there is no layer, or for all pages."""
     parts = [f"# {label}"]
-    with fitz.open(stream=content, filetype="pdf") as book:
-        for n, page in enumerate(book, 1):
-            text = page.get_text("text").strip()
-            parts += [f"## Page {n}", session.apply(text) if text else "_No text layer._"]
+    for n, page in enumerate(pages, 1):
+        layer = "" if how.force_ocr else page_text(page).strip()
+        parts.append(f"## Page {n}")
+        if layer or not (how.ocr or how.force_ocr):
+            parts.append(session.apply(layer or NO_TEXT))
+        else:
+            parts += [RECOGNISED, session.apply(recognise(page).strip())]
     return "\n\n".join(parts).strip() + "\n"
 
 
+def pdf_markdown(content: bytes, session: Session, label: str, how: Reading) -> str:
+    import fitz
+
+    def recognise(page) -> str:
+        import pytesseract
+
+        return pytesseract.image_to_string(picture(page, how.dpi), lang=how.language)
+
+    with fitz.open(stream=content, filetype="pdf") as book:
+        return pages_markdown(book, session, label, how, recognise)
+
+
 def image_markdown(content: bytes, session: Session, label: str, language: str) -> str:
     import pytesseract
     from PIL import Image
@@ -60,7 +107,7 @@ def image_markdown(content: bytes, session: Session, label: str, language: str)
     return f"# {label}\n\n{session.apply(pytesseract.image_to_string(Image.open(io.BytesIO(content)), lang=language).strip())}\n"
 
 
-def render(content: bytes, suffix: str, session: Session, label: str = V.DOCUMENT_LABEL, language: str = "eng+spa") -> str:
+def render(content: bytes, suffix: str, session: Session, label: str = V.DOCUMENT_LABEL, how: Reading = Reading()) -> str:
     """A file's anonymized Markdown."""
     require(suffix)
     if suffix in V.CSV_SUFFIXES:
@@ -72,9 +119,9 @@ def render(content: bytes, suffix: str, session: Session, label: str = V.DOCUMEN
     if suffix in V.XLSX_SUFFIXES:
         return Xlsx(content).markdown(session, label)
     if suffix in V.PDF_SUFFIXES:
-        return pdf_markdown(content, session, label)
+        return pdf_markdown(content, session, label, how)
     if suffix in V.IMAGE_SUFFIXES:
-        return image_markdown(content, session, label, language)
+        return image_markdown(content, session, label, how.language)
     markup = {".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html"}.get(suffix)
     return session.apply(io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace").read(), markup)
 
@@ -87,7 +134,7 @@ def read_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return reader.load(path if isinstance(path, str) else list(path)).select("path", "content")
 
 
-def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, rescan: bool = True, ner: NerSpec | None = None) -> DataFrame:
+def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, rescan: bool = True, ner: NerSpec | None = None, how: Reading = Reading()) -> DataFrame:
     """``files`` (path, content) as path, label, text, counts, suggestions and error.
 
     A file that cannot be read has an error and no text; it never passes a gate.
@@ -101,7 +148,7 @@ def anonymize_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | N
             for path, content, name in zip(batch["path"], batch["content"], batch["label"], strict=True):
                 session, text, error = Session(rules, ner.open() if ner else None), None, None
                 try:
-                    text = render(content, suffix_of(path), session, name)
+                    text = render(content, suffix_of(path), session, name, how)
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job; the type says no content
                     error = str(e) if isinstance(e, Unsupported) else type(e).__name__
                 out.append({"path": path, "label": name, "error": error, **_summary(session, text, [], rescan and text is not None)})

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators.boxes import draw, page_redactions, word_redactions
+from ..operators.columns import RESULT, _summary
+from ..operators.columns import RESULT, _summary
 from ..operators.matching import Rule, WordBox
 from ..operators.session import Session
-from .files import require, suffix_of
+from .files import picture, require, suffix_of
+from .models import NerSpec
 
 
 def recognised(data: dict[str, list], least: float) -> list[WordBox]:
@@ -55,28 +58,35 @@ def pages(content: bytes, suffix: str, dpi: int, language: str, least: float, fo
 
     with fitz.open(stream=content, filetype="pdf") as book:
         for page in book:
-            image = Image.open(io.BytesIO(page.get_pixmap(dpi=dpi).tobytes("png")))
+            image = picture(page, dpi)
             yield image, (not force_ocr and text_layer(page.get_text("words"), dpi)) or ocr(image)
 
 
-def redact_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, dpi: int = 220, least: float = 45, language: str = "eng+spa", force_ocr: bool = False, fill: str = "#ffffff", ink: str = "#111111", header: float = 0, header_text: str = "REDACTED", regions: Sequence[str] = ()) -> DataFrame:
-    """``files`` (path, content) as a row per page: path, name, png, n_redactions, error."""
-    stem = X.label_file(label)
+def redact_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, dpi: int = 220, least: float = 45, language: str = "eng+spa", force_ocr: bool = False, fill: str = "#ffffff", ink: str = "#111111", header: float = 0, header_text: str = "REDACTED", regions: Sequence[str] = (), ner: NerSpec | None = None) -> DataFrame:
+    """``files`` (path, content) as a row per page: path, page, name, png, n_redactions, error, and a last row without a picture with the file's counts and suggestions.
+
+    A task holds one drawn page at a time.
+    """
+    stem, label = X.label_file(label), X.document_label(label)
+    counts = RESULT.replace("text string, ", "", 1)
 
     def run(batches):
         for batch in batches:
-            out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                suffix, session = suffix_of(path), Session(rules)
+                suffix, session, error = suffix_of(path), Session(rules, ner.open() if ner else None), None
+                nothing = _summary(Session(rules), None, [], False)
+                n = total = 0
                 try:
                     for n, (image, boxes) in enumerate(pages(content, suffix, dpi, language, least, force_ocr), 1):
                         found = word_redactions(boxes, session, *image.size) + page_redactions(*image.size, header, header_text, regions)
                         png = io.BytesIO()
                         draw(image, found, fill, ink).save(png, "PNG")
                         name = f"{stem}-page-{n:04d}.png" if suffix in V.PDF_SUFFIXES else f"{stem}-image.png"
-                        out.append((path, name, png.getvalue(), len(found), None))
+                        total += len(found)
+                        yield pd.DataFrame([{"path": path, "label": label, "page": n, "name": name, "png": png.getvalue(), "n_redactions": len(found), "error": None, **nothing}])
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job
-                    out.append((path, None, None, 0, str(e) if isinstance(e, ValueError) else type(e).__name__))
-            yield pd.DataFrame(out, columns=["path", "name", "png", "n_redactions", "error"])
+                    error = str(e) if isinstance(e, ValueError) else type(e).__name__
+                yield pd.DataFrame([{"path": path, "label": label, "page": n + 1, "name": None, "png": None, "n_redactions": total, "error": error, **_summary(session, None, [], False)}])
 
-    return files.select("path", "content").mapInPandas(run, "path string, name string, png binary, n_redactions int, error string")
+    kind = f"path string, label string, page int, name string, png binary, n_redactions int, error string, {counts}"
+    return files.select("path", "content").mapInPandas(run, kind)

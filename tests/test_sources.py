@@ -2,17 +2,20 @@ import hashlib
 import io
 import json
 import os
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import columns as O
+from maskwright.operators import relations as R
+from maskwright.operators.boxes import fitting
 from maskwright.operators.matching import Rule
 from maskwright.__main__ import main
 from maskwright.operators.session import Session, Suggestion
 from maskwright.plans.pipeline import Options, Refused, check_paths, run_corpus, run_file, shown, text_output
-from maskwright.sources.files import Unsupported, render
+from maskwright.sources.files import NO_TEXT, RECOGNISED, Reading, Unsupported, page_text, pages_markdown, render
 from maskwright.sources.office import Xlsx
 from maskwright.sources.rules import load_rules, parse_json, parse_rule
 from maskwright.sources.tables import trim_edges
@@ -158,6 +161,68 @@ def test_corpus(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and spark.read.parquet(str(tmp_path / "rep")).count() == 4
 
 
+def test_nothing_of_refused_documents_is_written(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.md").write_text("Ana writes from ana@correo.test", encoding="utf-8")
+    (folder / "bad.md").write_text("SECRETWORD and x@hidden.test stay, unmasked phrase zebra", encoding="utf-8")
+    options = Options((Rule("ana", "demo", fuzzy_threshold=0.0),), require_all_rules=True)
+    status = {os.path.basename(r.path): r.status for r in run_corpus(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "rep"), options).collect()}
+    assert status == {"good.md": "passed", "bad.md": "refused"}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1 and spark.read.parquet(str(tmp_path / "rep")).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out", "rep"]
+    seen = [r.asDict() for name in ("out", "out/_status", "rep") for r in spark.read.parquet(str(tmp_path / name)).collect()]
+    assert "zebra" not in str(seen) and "hidden" not in str(seen) and "SECRETWORD" not in str(seen)
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark says when the output is there
+        run_corpus(spark, str(folder), str(tmp_path / "out"), options=options)
+    assert not [p for p in tmp_path.iterdir() if "staged" in p.name]
+
+
+class Page:
+    def __init__(self, blocks, plain=""):
+        self.blocks, self.plain = blocks, plain
+
+    def get_text(self, kind):
+        return {"blocks": self.blocks} if kind == "dict" else self.plain
+
+
+def test_pages_with_and_without_text():
+    spans = lambda *t: {"spans": [{"text": x} for x in t]}
+    pages = [Page([{"type": 0, "lines": [spans("Ana ", "Pérez"), spans("x")]}, {"type": 1}]), Page([], "plain"), Page([])]
+    assert page_text(pages[0]) == "Ana Pérez\nx" and page_text(pages[1]) == "plain"
+    read = lambda how: pages_markdown(pages, Session(), "L", how, lambda page: " read by eye ")
+    assert read(Reading()) == f"# L\n\n## Page 1\n\nPERSON-0001\nx\n\n## Page 2\n\nplain\n\n## Page 3\n\n{NO_TEXT}\n"
+    assert read(Reading(ocr=True)).endswith(f"## Page 3\n\n{RECOGNISED}\n\nread by eye\n")
+    assert read(Reading(force_ocr=True)).count("read by eye") == 3
+
+
+def test_size_of_fitted_text():
+    assert fitting((200, 40), lambda n: (6 * n, n)) == 30 and fitting((60, 40), lambda n: (6 * n, n)) == 9
+    assert fitting((5, 5), lambda n: (6 * n, n)) == 6 and fitting((500, 8), lambda n: (n, n / 3)) == 8
+
+
+def test_command_line_flags(tmp_path, capsys):
+    source = tmp_path / "a.md"
+    source.write_text("Mail ana@correo.test", encoding="utf-8")
+    assert main(["--help-install"]) == 0 and "pymupdf" in capsys.readouterr().out
+    for argv in (["--safe-report", "--unsafe-report", str(source)], []):
+        with pytest.raises(SystemExit):
+            main(argv)
+
+
+def test_intervals_against_all_pairs(spark):
+    r = random.Random(4)
+    make = lambda n: [(r.choice([1, 2, 3, None]), a := r.randrange(30), a + r.randrange(1, 8), i) for i in range(n)]
+    left, right = make(60), make(25)
+    kind = "doc_id long, start int, end int, n int"
+    spans, by = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)
+    same = lambda a, b: a[0] is not None and a[0] == b[0]
+    apart = {a[3] for a in left if not any(same(a, b) and a[1] < b[2] and b[1] < a[2] for b in right)}
+    outside = {a[3] for a in left if not any(same(a, b) and b[1] <= a[1] and a[2] <= b[2] for b in right)}
+    assert {x.n for x in R.not_overlapped(spans, by).collect()} == apart
+    assert {x.n for x in R.not_contained(spans, by).collect()} == outside and R.not_contained(spans, by).columns == spans.columns
+
+
 def test_units_share_numbers(spark):
     units = spark.createDataFrame([(1, 2, None, "Ana Pérez"), (1, 1, None, "Luis Gómez"), (2, 1, None, "Ana Pérez"), (2, 2, None, None)], "doc_id long, unit_no int, markup string, text string")
     out = {(r.doc_id, r.unit_no): r.text for r in O.anonymize_units(units).collect()}
