@@ -68,7 +68,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 def _op1() -> str:
-    notices = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(NOTICES))
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    notices = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(NOTICES))
     return f"""
 WITH n AS (SELECT k, license, {_WORDS} AS w FROM (VALUES {notices}) AS v(k, license, text)),
 ns AS (SELECT DISTINCT k, license, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT k, license, w, unnest(range(1, len(w) - 3)) AS i FROM n)),

@@ -141,6 +141,19 @@ def test_decontamination_against_plain_search(spark):
             assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(listed), bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_long_items_and_binary_ids(spark):
+    """Items longer than a piece keep every window; ids may be of any type."""
+    rng = random.Random(8)
+    item = [f"k{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(item[i : i + 13]) for i in range(0, 388, 3)] + [" ".join(item[380:392]), "é" * 50]
+    docs = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "doc_id binary, text string").repartition(2)
+    items = spark.createDataFrame([("x", " ".join(item)), ("y", None), ("z", "é" * 50)], "item_id string, text string")
+    for words_ in (20, 64, 1 << 16):
+        rows = {int(r.doc_id): r for r in D.contamination(docs, items, piece_words=words_, block_chars=300).collect()}
+        assert len(rows) == len(texts) and all(rows[i].n_hit == 13 for i in range(len(texts) - 2))
+        assert rows[len(texts) - 2].n_hit == 0 and rows[len(texts) - 1]["items"] == ["z"]
+
+
 def test_proximity(spark):
     docs = frame(spark, ["a x x b", "a x x x x b", "b a", None])
     found = D.proximity_search(D.build_index(docs), ["a b"], 4).collect()
@@ -201,6 +214,26 @@ def test_license_in_a_text_alone_in_its_group(k):
     assert (name, 0, len(words(text))) in [(f["license"], f["first_word"], f["end_word"]) for f in first] and empty == []
 
 
+@pytest.mark.parametrize("k", range(len(NOTICES)))
+def test_part_of_a_license_alone_and_among_others(k):
+    """The least part that counts, at either end, without neighbours and in the middle of a text."""
+    name, text = NOTICES[k]
+    w = words(text)
+    m = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    part = -(-4 * m // 5) + 4 + (len(w) - 4 - m)  # words that hold four fifths of the shingles
+    filler = [f"z{i}" for i in range(300)]
+    for own in (w[:part], w[-part:]):
+        for row in (own, filler + own + filler):
+            batch = pa.record_batch([pa.array([1]), pa.array([" ".join(row)])], ["doc_id", "text"])
+            assert name in {f["license"] for f in next(_scan(NOTICES, 0.8)(iter([batch]))).column("found").to_pylist()[0]}
+
+
+def test_licenses_do_not_depend_on_partitions(spark):
+    texts = [f"{'w ' * (7 * i % 40)}{t}{' v' * (i % 5)}" for i, (_, t) in enumerate(NOTICES)] + ["", None, "short text"]
+    seen = [sorted(map(tuple, license_report(frame(spark, texts).repartition(n)).collect())) for n in (1, 3, 50)]
+    assert seen[0] == seen[1] == seen[2]
+
+
 BASE = (("assign", re.compile(secret_scan.ASSIGN)), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+")))
 
 
