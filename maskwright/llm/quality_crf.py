@@ -7,7 +7,7 @@ quality is the mean of these, weighted by line length and then mapped by a
 monotone logistic curve that puts the best cut on the training rows at 0.7.
 
 Training takes at most ``max_docs`` labelled documents (by hash order of their
-ids, one row for each id), whole texts; a document's label stands for its lines at first, and lines
+ids, one row for each id) of at most ``max_lines`` lines together, whole texts; a document's label stands for its lines at first, and lines
 of bad documents that look good are relabelled once.  Scores depend on the text
 alone.  Null and empty texts are scored as one empty line; repeated rows get
 equal scores; other columns are left as they are.  If the labels hold a single
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import small_batches
@@ -29,6 +29,8 @@ from .tokens import Words, groups
 
 CUT = 0.7
 MAX_DOCS = 3000
+#: Lines of all training documents together; their features, 92 bytes a line, are what the driver gets.
+MAX_LINES = 500_000
 
 _CLASSES = {"symbol": b"#*$%&|<>~^=_\\", "pipe": b"|", "exclaim": b"!?", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "tail": bytes(range(0x80, 0xC0)), "lead": bytes(range(0xC0, 256))}
 _SELF = ("symbol", "pipe", "exclaim", "upper", "repeat", "words", "width", "digit", "again", "empty")
@@ -204,14 +206,15 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             f, length = f.astype(np.float32), length.astype(np.float32)
             cut = list(zip(bounds[:-1], bounds[1:], strict=True))
             blobs = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (f, length)]
-            yield pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(quality[a:b], pa.int32()), *blobs], ["doc_id", "quality", "f", "length"])
+            n = pa.array([j - i for i, j in cut], pa.int64())
+            yield pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(quality[a:b], pa.int32()), n, *blobs], ["doc_id", "quality", "n", "f", "length"])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Model:
     """Fit on at most ``max_docs`` labelled documents that are not held out."""
     small_batches(docs.sparkSession)
     sample = (
@@ -221,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     )
     # of rows that share an id one stands for all, by hash of the text
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
-    rows = chosen.select("doc_id", "quality", "row.text").mapInArrow(_feature_rows, "doc_id long, quality int, f binary, length binary").collect()
+    found = chosen.select("doc_id", "quality", "row.text").mapInArrow(_feature_rows, "doc_id long, quality int, n long, f binary, length binary").filter(F.col("n") <= max_lines)
+    # at most max_docs rows: the first of them, by the same order, that have no more lines together
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("so_far", so_far).filter(F.col("so_far") <= max_lines).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.f))
     if not rows:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(1, int), np.zeros(0, int))
