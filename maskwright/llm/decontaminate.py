@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,13 @@ class Segment:
         return found
 
 
+_HITS = ["doc_id", "n_words", "starts", "ends", "items"]
+
+
+def _verdicts(index: DataFrame) -> str:
+    return f"doc_id {_ids(index)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+
+
 def _ids(index: DataFrame) -> str:
     return index.schema["doc_ids"].dataType.elementType.simpleString()
 
@@ -188,7 +196,8 @@ def phrase_search(index: DataFrame, items: list[tuple[str | None, str | None]],
     return _search(index, items, size)[0]
 
 
-def _search(index: DataFrame, items: list[tuple[str | None, str | None]], size: int) -> tuple[DataFrame, Broadcast]:
+def _search(index: DataFrame, items: list[tuple[str | None, str | None]], size: int, summed: bool = False) -> tuple[DataFrame, Broadcast]:
+    """The result and what it has broadcast; ``summed``: with the verdicts, in the same pass."""
     windows = Windows(items, size)
     frequency = term_counts(index, windows.terms)
     ranks = {n: np.argsort(frequency[_lookup(windows.terms, rows)], axis=1, kind="stable").astype(np.int32) for n, (rows, _) in windows.by_length.items()}
@@ -233,7 +242,10 @@ def _search(index: DataFrame, items: list[tuple[str | None, str | None]], size:
                 )
 
     found = f"segment long, doc_no int, doc_id {_ids(index)}, n_words long, starts array<int>, ends array<int>, items array<string>"
-    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings").mapInArrow(released(run), found), sent
+    rows = index.select("segment", "doc_ids", "doc_words", "terms", "counts", "postings")
+    if summed:  # a second operator would be a second worker for each task
+        return rows.mapInArrow(released(lambda batches: _summary(b.select(_HITS) for b in run(batches))), _verdicts(index)), sent
+    return rows.mapInArrow(released(run), found), sent
 
 
 def proximity_search(index: DataFrame, phrases: list[str], span: int) -> DataFrame:
@@ -322,14 +334,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document: words, words inside windows of ``benchmark``, items found, and the verdict (a twentieth of the words hit)."""
     index = build_index(docs, id_col)
     blocks = _blocks(benchmark, block_chars, size, piece_words)
-    found, _ = _search(index, next(blocks), size)
-    rest = []
-    for block in blocks:
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _search(index, first, size, summed=True)[0]
+    hits = []
+    for block in chain([second], blocks):
         part, sent = _search(index, block, size)
-        rest.append(write(part.filter(F.size("starts") > 0), "phrase-hits"))
+        hits.append(write(part.filter(F.size("starts") > 0), "phrase-hits"))
         sent.destroy()
-    if rest:
-        hits = docs.sparkSession.read.schema(found.schema).parquet(*rest)
-        lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")}
-        found = found.unionByName(hits).groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists.values())
-    return found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_summary, f"doc_id {_ids(index)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    found, _ = _search(index, first, size)
+    rest = docs.sparkSession.read.schema(found.schema).parquet(*hits)
+    lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")}
+    found = found.unionByName(rest).groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists.values())
+    return found.select(_HITS).mapInArrow(_summary, _verdicts(index))

@@ -33,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """Limits the session's Arrow batches, which bound what a Python worker holds, to ``limit`` bytes."""
+    """Limits the session's Arrow batches, which bound what a Python worker holds, to ``limit`` bytes.
+
+    The setting stays, as plans run after the call that makes them; smaller ones are left alone.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.match(r"(\d+)([kmg]?)", spark.conf.get(name, "1g").lower())
     if not now or int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] > limit:
@@ -52,11 +55,15 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
+#: Rows of some tables are megabytes: groups of this size bound what their writers and readers hold.
+ROW_GROUP = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1000}
+
+
 def write(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet in the shared folder; its path, removed when Python ends."""
+    """Write ``df`` as Parquet in the shared folder; its path, removed by ``sweep`` or when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**ROW_GROUP).parquet(path)
     _written.append((spark, path))
     return path
 
@@ -80,12 +87,22 @@ def hashed_side(ids: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> Da
     return ids.hint("shuffle_hash") if size <= most * partitions else ids
 
 
+def mark() -> int:
+    """A place in the list of written tables, for ``sweep``."""
+    return len(_written)
+
+
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def sweep(since: int = 0, but: str | None = None) -> None:
+    """Removes the tables written after ``since``, when nothing that reads them is left to run."""
+    for at in range(len(_written) - 1, since - 1, -1):
+        spark, path = _written[at]
+        if path == but:
+            continue
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
+        del _written[at]
