@@ -27,7 +27,7 @@ from maskwright.llm.ngram_join import near_duplicates
 from maskwright.llm.packing import pack
 from maskwright.llm.pii import replace_entities
 from maskwright.llm.quality_crf import keep_good
-from maskwright.llm.storage import hashed_side, keep
+from maskwright.llm.storage import hashed_side, keep, mark, sweep, write
 from maskwright.operators.physical import spread
 
 
@@ -93,5 +93,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result but the last is written to the shared folder and read again."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = mark()
+        out = stage(spark, docs, sf_dir)
+        path = write(out, name.replace(" ", "-"))
+        sweep(before, path)  # what the stage itself has written
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
