@@ -15,7 +15,7 @@ from . import vocabulary as V
 EMAIL = r"(?i)(?<![\p{L}\p{N}_.+-])[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,63}(?![\p{L}\p{N}_.-])"
 IPV4 = r"(?<![\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}_]|\.[0-9])"
 NUMBER = r"(?<![\p{L}\p{N}_-])[0-9]{13,19}(?![\p{L}\p{N}_-])"
-PHONE = r"(?<![\p{L}\p{N}_-])(?:\(\s*\+?[0-9]{1,3}\s*\)\s*|\+[0-9]{1,3}[\s.-]|507[\s.-])?(?:\(?[0-9]{3}\)?[\s.-][0-9]{4}|\(?[0-9]{4}\)?[\s.-][0-9]{4}|\(?[0-9]{3}\)?[\s.-][0-9]{3}[\s.-][0-9]{4}|[0-9]{8})(?![\p{L}\p{N}_-])"
+PHONE = r"(?U)(?<![\p{L}\p{N}_-])(?:\(\s*\+?[0-9]{1,3}\s*\)\s*|\+[0-9]{1,3}[\s.-]|507[\s.-])?(?:\(?[0-9]{3}\)?[\s.-][0-9]{4}|\(?[0-9]{4}\)?[\s.-][0-9]{4}|\(?[0-9]{3}\)?[\s.-][0-9]{3}[\s.-][0-9]{4}|[0-9]{8})(?![\p{L}\p{N}_-])"
 #: Pattern of each kind, and a pattern that a text without a value of the kind mostly lacks, which is cheaper to look for.
 NATIVE = {"email": (EMAIL, "@"), "ipv4": (IPV4, r"[0-9]\.[0-9]"), "number": (NUMBER, "[0-9]{13}"), "phone": (PHONE, "[0-9][0-9)]{2}")}
 
@@ -30,8 +30,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+# Letters that fold to another one than their small form, made by rule; of those that fold to several, the German one alone.
+_FOLDED = [(c.lower(), c.casefold()) for c in map(chr, range(0x80, 0x3000)) if c.casefold() != c.lower() and len(c.lower()) == len(c.casefold()) == 1]
+
+
+def folded(text: Column) -> Column:
+    """Small letters, folded for comparison."""
+    return F.replace(F.translate(F.lower(text), "".join(a for a, _ in _FOLDED), "".join(b for _, b in _FOLDED)), F.lit("ß"), F.lit("ss"))
+
+
 def squeeze(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    return folded(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
 def native_values(text: Column, kind: str) -> Column:
@@ -66,7 +75,7 @@ def is_safe(kind: Column, value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     value = F.trim(value)
-    return F.lower(F.when(kind.isin(sorted(V.SPACED_KINDS)), F.regexp_replace(value, r"(?U)\s+", " ")).otherwise(F.regexp_replace(value, r"(?U)\W+", "")))
+    return folded(F.when(kind.isin(sorted(V.SPACED_KINDS)), F.regexp_replace(value, r"(?U)\s+", " ")).otherwise(F.regexp_replace(value, r"(?U)\W+", "")))
 
 
 def prefix_of(kind: Column) -> Column:

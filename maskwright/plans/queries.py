@@ -124,7 +124,7 @@ def native_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, len(w) AS n_tokens, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS n_distinct, sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS squeezed_sha256
+    r"""SELECT doc_id, len(w) AS n_tokens, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS n_distinct, sha256(replace(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')), 'ß', 'ss')) AS squeezed_sha256
     FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents)"""
 )
 def tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,12 @@ def pages(content: bytes, suffix: str, dpi: int, language: str, least: float, fo
             yield image, (not force_ocr and text_layer(page.get_text("words"), dpi)) or ocr(image)
 
 
+def _counts(session: Session) -> dict:
+    told = _summary(session, None, [], False)
+    del told["text"]
+    return told
+
+
 def redact_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None = None, dpi: int = 220, least: float = 45, language: str = "eng+spa", force_ocr: bool = False, fill: str = "#ffffff", ink: str = "#111111", header: float = 0, header_text: str = "REDACTED", regions: Sequence[str] = (), ner: NerSpec | None = None) -> DataFrame:
     """``files`` (path, content) as a row per page: path, page, name, png, n_redactions, error, and a last row without a picture with the file's counts and suggestions.
 
@@ -74,7 +80,7 @@ def redact_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 suffix, session, error = suffix_of(path), Session(rules, ner.open() if ner else None), None
-                nothing = _summary(Session(rules), None, [], False)
+                nothing = _counts(Session(rules))
                 n = total = 0
                 try:
                     for n, (image, boxes) in enumerate(pages(content, suffix, dpi, language, least, force_ocr), 1):
@@ -86,7 +92,7 @@ def redact_files(files: DataFrame, rules: Sequence[Rule] = (), label: str | None
                         yield pd.DataFrame([{"path": path, "label": label, "page": n, "name": name, "png": png.getvalue(), "n_redactions": len(found), "error": None, **nothing}])
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job
                     error = str(e) if isinstance(e, ValueError) else type(e).__name__
-                yield pd.DataFrame([{"path": path, "label": label, "page": n + 1, "name": None, "png": None, "n_redactions": total, "error": error, **_summary(session, None, [], False)}])
+                yield pd.DataFrame([{"path": path, "label": label, "page": n + 1, "name": None, "png": None, "n_redactions": total, "error": error, **_counts(session)}])
 
     kind = f"path string, label string, page int, name string, png binary, n_redactions int, error string, {counts}"
     return files.select("path", "content").mapInPandas(run, kind)
