@@ -321,12 +321,13 @@ def family_links(classes: DataFrame, families: DataFrame, sets: DataFrame, thres
     rows = keep(rows.withColumn("worth", (1 + threshold) * F.col("same") - threshold * F.col("n")).withColumn("p", F.size("parts")), "family-classes")
     steps = [k / 32 for k in range(1, 32)]
     tops = rows.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("p").alias("all"), F.max("worth").alias("top"), F.percentile_approx("worth", steps, 1000).alias("cuts"))
-    rows = rows.join(tops, "family").filter(F.col("worth") + F.col("top") + (1 + threshold) * F.col("p") >= (1 + threshold) * F.col("core") - 1e-6)
+    rows = rows.join(hashed_side(keep(tops, "family-bounds"), 600), "family").filter(F.col("worth") + F.col("top") + (1 + threshold) * F.col("p") >= (1 + threshold) * F.col("core") - 1e-6)
     groups = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_PARTS))
     # by worth, as far as 32 ranges reach, so that bounds tell blocks apart; then by hash
     range_ = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("worth"))) * F.least(groups, F.lit(32)) / 32)
     rows = rows.withColumn("block", (range_ + 32 * F.pmod(F.xxhash64("cls"), F.ceil(groups / 32))).cast("long"))
-    packed = rows.groupBy("family", "block").agg(
+    # dealt by block: a family's rows must not stay together
+    packed = rows.repartition("family", "block").groupBy("family", "block").agg(
         F.first("core").alias("core"), F.max("worth").alias("most"), F.max("p").alias("p"), F.collect_list(F.struct("cls", "class_id", "copies", "n", "same", "parts")).alias("members")
     )
     packed = keep(packed, "family-blocks")
