@@ -31,6 +31,8 @@ CUT = 0.7
 MAX_DOCS = 3000
 #: Lines of all training documents together; their features, 92 bytes a line, are what the driver gets.
 MAX_LINES = 500_000
+#: Lines that are gone through one after the other.
+STRETCH = 1024
 
 _CLASSES = {"symbol": b"#*$%&|<>~^=_\\", "pipe": b"|", "exclaim": b"!?", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "tail": bytes(range(0x80, 0xC0)), "lead": bytes(range(0xC0, 256))}
 _SELF = ("symbol", "pipe", "exclaim", "upper", "repeat", "words", "width", "digit", "again", "empty")
@@ -102,27 +104,80 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.stack(columns, 1), length, bounds
 
 
-def forward_backward(score: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of good for each line, and the summed pair marginals (2 x 2)."""
+def _cut(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the texts' stretches of at most ``STRETCH`` lines, and the text of each."""
     n = np.diff(bounds)
-    order = np.argsort(-n, kind="stable")
-    first, n = bounds[:-1][order], n[order]
-    steps = int(n[0]) if len(n) else 0
-    active = np.searchsorted(-n, -np.arange(steps), "left")  # texts with more than t lines
+    many = -(-n // STRETCH)
+    of = np.repeat(np.arange(len(n)), many)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+    return bounds[:-1][of] + at, np.minimum(STRETCH, n[of] - at), of
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / v.reshape(len(v), -1).sum(1).reshape(-1, *[1] * (v.ndim - 1))
+
+
+def _ends(node: np.ndarray, m: np.ndarray, first: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch gets from the stretches of its text before and after it.
+
+    The passage through a stretch is a 2 x 2 matrix; all are multiplied up side
+    by side, then the stretches of a text are gone through one by one.
+    """
+    opens = np.append(True, of[1:] != of[:-1])
+    # a text begins with its first node, without a passage to it
+    through = np.where(opens[:, None, None], np.eye(2), m) * node[first][:, None, :]
+    for t in range(1, int(n.max())):
+        on = np.flatnonzero(n > t)
+        through[on] = _scaled(through[on] @ (m * node[first[on] + t][:, None, :]))
+    before, after = np.ones((len(first), 2)), np.ones((len(first), 2))
+    rank = np.arange(len(of)) - np.flatnonzero(opens)[of]
+    for k in range(int(rank.max())):
+        on = np.flatnonzero(rank == k + 1)  # stretches that have k + 1 before them
+        before[on] = _scaled(np.einsum("ij,ijk->ik", before[on - 1], through[on - 1]))
+    left = np.bincount(of)[of] - 1 - rank
+    for k in range(int(left.max())):
+        on = np.flatnonzero(left == k + 1)
+        after[on] = _scaled(np.einsum("ijk,ik->ij", through[on + 1], after[on + 1]))
+    return before, after
+
+
+def forward_backward(score: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of good for each line, and the summed pair marginals (2 x 2).
+
+    Lines are gone through side by side for all stretches, so the number of
+    steps is bounded for texts of any length.
+    """
     node = np.exp(np.stack([-score / 2, score / 2], 1).clip(-30, 30))
+    alpha, beta, pairs = np.empty_like(node), np.ones_like(node), np.zeros((2, 2))
+    if not len(node):
+        return score[:0], pairs
     m = np.exp(trans)
-    alpha, beta = np.empty_like(node), np.ones_like(node)
+    first, n, of = _cut(bounds)
+    opens = np.append(True, of[1:] != of[:-1])
+    before, after = _ends(node, m, first, n, of) if len(first) > len(bounds) - 1 else (None, None)
+    order = np.argsort(-n, kind="stable")
+    first, n, opens = first[order], n[order], opens[order]
+    steps = int(n[0])
+    active = np.searchsorted(-n, -np.arange(steps), "left")  # stretches with more than t lines
     for t in range(steps):
         at = first[: active[t]] + t
-        a = node[at] if t == 0 else (alpha[at - 1] @ m) * node[at]
+        if t:
+            a = (alpha[at - 1] @ m) * node[at]
+        else:
+            a = node[at] if before is None else np.where(opens[:, None], node[at], (before[order] @ m) * node[at])
         alpha[at] = a / a.sum(1, keepdims=True)
-    pairs = np.zeros((2, 2))
+    if after is not None:
+        beta[first + n - 1] = after[order]
     for t in range(steps - 2, -1, -1):
         at = first[: active[t + 1]] + t
-        ahead = node[at + 1] * beta[at + 1]
-        b = ahead @ m.T
+        b = (node[at + 1] * beta[at + 1]) @ m.T
         beta[at] = b / b.sum(1, keepdims=True)
-        joint = alpha[at][:, :, None] * m * ahead[:, None, :]
+    inner = np.ones(len(node), bool)
+    inner[bounds[:-1]] = False
+    inner = np.flatnonzero(inner)
+    for lo in range(0, len(inner), 1 << 16):
+        at = inner[lo : lo + (1 << 16)]
+        joint = alpha[at - 1][:, :, None] * m * (node[at] * beta[at])[:, None, :]
         pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     p = alpha * beta
     return p[:, 1] / p.sum(1), pairs

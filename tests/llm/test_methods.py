@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -328,6 +329,31 @@ def test_forward_backward_against_all_paths():
         assert np.allclose(good[a:b], mass / total)
 
 
+def test_stretches_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 60, 12))])
+    for trans in (np.zeros((2, 2)), rng.normal(size=(2, 2))):
+        score = rng.normal(size=bounds[-1]) * 4
+        good, pairs = quality_crf.forward_backward(score, bounds, trans)
+        for stretch in (1, 3, 8):
+            monkeypatch.setattr(quality_crf, "STRETCH", stretch)
+            p, q = quality_crf.forward_backward(score, bounds, trans)
+            assert np.allclose(good, p, atol=1e-9) and np.allclose(pairs, q)
+        monkeypatch.undo()
+    start = time.perf_counter()
+    assert len(quality_crf.forward_backward(rng.normal(size=1_000_000), np.array([0, 1_000_000]), np.eye(2))[0]) == 1_000_000
+    assert time.perf_counter() - start < 30
+
+
+def test_training_takes_a_bounded_number_of_lines(spark):
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:20]
+    docs = spark.createDataFrame([(i, "good words in a line\n" * 30 if k % 2 else "### |||\n" * 30) for k, i in enumerate(free)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(free)], "doc_id long, quality int")
+    assert quality_crf.train(docs, labels).constant is None
+    # none fits, then one does: a model of a single class
+    assert quality_crf.train(docs, labels, max_lines=20).constant == 1.0 and quality_crf.train(docs, labels, max_lines=40).constant in (0.0, 1.0)
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
