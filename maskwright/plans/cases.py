@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import columns as O
 from ..operators.matching import Rule
 from ..operators.physical import spread
+from ..operators.relations import gate
+from ..operators.select import choose_column, splice_column
 from .pipeline import Options, reports
 
 #: (kind, SQL of the part, confidence, reason); a kind of '' is text between values.
@@ -156,6 +158,37 @@ def overlapping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_suppkey", F.col("result.text").alias("text"), F.inline(rules))
 
 
+_WRITTEN = "CASE s_suppkey % 4 WHEN 0 THEN 'Client: Acme S.A. ' WHEN 1 THEN 'ACME, S. A. ' WHEN 2 THEN 'acme - s a. ' ELSE 'Acme/S-A: ' END || CAST(s_suppkey AS STRING) || ' acmesa x@acme.test'"
+SMART = (Rule("Acme S A", "Demo Company", fuzzy_threshold=0.0), Rule("x@acme.test", "person@example.local", smart=False, fuzzy_threshold=0.0))
+
+
+def smart_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a rule joined by any punctuation, written in the case of what they replace; a rule may name a whole address."""
+    out = O.anonymize(_rows(spark, sf_dir, "supplier", "s_suppkey", _WRITTEN), SMART)
+    return out.select("s_suppkey", F.col("result.text").alias("text"), F.col("result.matches")[0].alias("n_name"), F.col("result.matches")[1].alias("n_mail"))
+
+
+_GATED = "CASE s_suppkey % 4 WHEN 0 THEN 'beta gamma writes' WHEN 1 THEN 'nothing here' WHEN 2 THEN 'mail u' || CAST(s_suppkey AS STRING) || '@mail.test' ELSE 'beta gamma to u' || CAST(s_suppkey AS STRING) || '@mail.test' END"
+
+
+def gated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The safety gate on what rules and detectors did to each text."""
+    out = O.anonymize(_rows(spark, sf_dir, "supplier", "s_suppkey", _GATED), (RULE,))
+    n = F.coalesce(F.aggregate("result.automatic", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
+    rows = out.select("s_suppkey", "result.matches", "result.absorbed", n.alias("n_automatic"), F.size("result.suggestions").alias("n_suggestions"))
+    return gate(rows, require_all_rules=True, strict=True).select("s_suppkey", "n_automatic", "status", F.array_join("problems", "; ").alias("problems"))
+
+
+def chosen_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy choice between two edits whose places, lengths and priorities follow from the row, in the JVM."""
+    key = F.col("o_orderkey")
+    edit = lambda start, end, text, priority: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("replacement"), F.lit("value").alias("kind"), priority.cast("int").alias("priority"), F.lit(-1).alias("index"))
+    edits = F.array(edit(F.lit(2), 4 + key % 4, "<A>", F.lit(70)), edit(key % 7, key % 7 + 3, "<B>", 60 + 10 * (key % 3)))
+    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select("o_orderkey", F.concat(F.lit("abcdefghijkl"), key.cast("string")).alias("text"), edits.alias("edits"))
+    rows = rows.withColumn("chosen", choose_column("edits"))
+    return rows.select("o_orderkey", splice_column("text", "chosen").alias("text"), F.size("chosen").cast("long").alias("n_edits"))
+
+
 # ---- structure, units -----------------------------------------------------------------
 _NESTED = "'(a' || CAST(s_suppkey AS STRING) || ' [b] c) “d” it''s {e'"
 
@@ -173,7 +206,7 @@ def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.anonymize_units(units).select("doc_id", "unit_no", "text")
 
 
-QUERIES = {f.__name__: f for f in (labelled_fields, masked_fields, edits_of_fields, reports_of_fields, masked_markup, fuzzy_rule, overlapping_rules, nested_structure, masked_conversations)}
+QUERIES = {f.__name__: f for f in (labelled_fields, masked_fields, edits_of_fields, reports_of_fields, masked_markup, fuzzy_rule, overlapping_rules, smart_rules, gated_texts, chosen_edits, nested_structure, masked_conversations)}
 
 SQL = {
     "labelled_fields": spans_sql("c_custkey", "customer", FIELDS),
@@ -185,6 +218,15 @@ SQL = {
     "fuzzy_rule": "SELECT s_suppkey, 'gerente de Demo Company ' || s_suppkey || ', EMAIL-0001@example.com' AS text, CAST(1 AS BIGINT) AS n_matches FROM supplier",
     "overlapping_rules": """SELECT s_suppkey, repeat('first second. ', CAST(s_suppkey % 4 AS INT)) || 'Second' AS text, rule, CAST(CASE rule WHEN 1 THEN s_suppkey % 4 WHEN 2 THEN s_suppkey % 4 + 1 ELSE 0 END AS BIGINT) AS matches,
         CAST(CASE WHEN rule = 2 THEN s_suppkey % 4 ELSE 0 END AS BIGINT) AS absorbed, CAST(CASE WHEN rule = 2 THEN s_suppkey % 4 ELSE 0 END AS BIGINT) AS events FROM supplier, (VALUES (1), (2), (3)) AS r(rule)""",
+    "smart_rules": """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Client: Demo Company. ' WHEN 1 THEN 'DEMO COMPANY. ' WHEN 2 THEN 'demo company. ' ELSE 'Demo Company: ' END || s_suppkey || ' demo company person@example.local' AS text,
+        CAST(2 AS BIGINT) AS n_name, CAST(1 AS BIGINT) AS n_mail FROM supplier""",
+    "gated_texts": """SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_automatic, CASE WHEN s_suppkey % 4 IN (0, 3) THEN 'passed' ELSE 'refused' END AS status,
+        CASE s_suppkey % 4 WHEN 1 THEN 'zero replacements/redactions matched; rules with zero matches: rule-001' WHEN 2 THEN 'rules with zero matches: rule-001' ELSE '' END AS problems FROM supplier""",
+    "chosen_edits": """WITH e AS (SELECT o_orderkey, 'abcdefghijkl' || o_orderkey AS t, 2 AS a0, 4 + o_orderkey % 4 AS a1, o_orderkey % 7 AS b0, o_orderkey % 7 + 3 AS b1, 60 + 10 * (o_orderkey % 3) AS p FROM orders),
+        c AS (SELECT *, a0 < b1 AND b0 < a1 AS meet, CASE WHEN p <> 70 THEN p < 70 WHEN a1 - a0 <> 3 THEN a1 - a0 > 3 ELSE a0 <= b0 END AS first FROM e)
+        SELECT o_orderkey, CASE WHEN meet AND first THEN substr(t, 1, a0) || '<A>' || substr(t, a1 + 1) WHEN meet THEN substr(t, 1, b0) || '<B>' || substr(t, b1 + 1)
+          WHEN a0 < b0 THEN substr(t, 1, a0) || '<A>' || substr(t, a1 + 1, b0 - a1) || '<B>' || substr(t, b1 + 1) ELSE substr(t, 1, b0) || '<B>' || substr(t, b1 + 1, a0 - b1) || '<A>' || substr(t, a1 + 1) END AS text,
+          CAST(CASE WHEN meet THEN 1 ELSE 2 END AS BIGINT) AS n_edits FROM c""",
     "nested_structure": """WITH t AS (SELECT s_suppkey, length(CAST(s_suppkey AS VARCHAR)) AS n FROM supplier),
         v AS (SELECT s_suppkey, unnest([0, n + 3, n + 10, n + 19]) AS start, unnest([n + 9, n + 6, n + 13, n + 21]) AS "end", unnest(['(', '[', '“', '{']) AS opener, unnest([')', ']', '”', NULL]) AS closer, unnest([0, 1, 0, 0]) AS depth FROM t)
         SELECT s_suppkey, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST(start + 1 AS INT) AS content_start, CAST(CASE WHEN closer IS NULL THEN "end" ELSE "end" - 1 END AS INT) AS content_end, opener, closer, depth, closer IS NOT NULL AS balanced FROM v""",
