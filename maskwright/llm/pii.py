@@ -108,7 +108,7 @@ def _names(text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int,
     for m in _NAMES.finditer(text):
         parts = re.findall(_WORD, m["rest"] or m["last"])
         own = parts[: next((i for i, p in enumerate(parts) if not p[:1].isupper()), len(parts))]
-        if own:
+        if own and m["first"] not in own:  # a word said twice is no first and last name
             known.update([m["first"], *own] if m["first"] else own)
     for m in _TOLD.finditer(text):
         if _ANNOUNCE.search(text[max(0, m.start() - _LOOK_BACK) : m.start()].rstrip()):

@@ -395,6 +395,7 @@ def test_surrogates():
     names = lambda t: [t[a:b] for a, b, k in pii.find(t) if k == "name"]
     assert names("Grace Hopper met Ahmed Hassan; Hopper left.") == ["Grace", "Hopper", "Ahmed", "Hassan", "Hopper"]
     assert names("Name: Zoltan Kovacs. my name is Nkechi Obi, Contact Bela Bartok <b.b@c.example.com>") == ["Zoltan", "Kovacs", "Nkechi", "Obi", "Contact", "Bela", "Bartok"]
+    assert names("Ines Ines Ines Ines") == []
     assert names("In May the name was lost: Nothing here, The End of it (see below)") == []
     assert [k for *_, k in pii.find("4111 1111 1111 1111 and 4111 1111 1111 1112")] == ["card", "account"]
     assert pii.find("24be64439e3e49cf46b2d7c90f3602a3d0b907ff version 4.0. and 3.14") == []
