@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from .detect import detect
 from .matching import Rule
-from .session import Ner, Session, merge_suggestions, residual
+from .session import Ner, Session, merge_suggestions
 from .structure import delimited, visible
 
 DETECTION = "struct<kind:string,value:string,start:int,end:int,confidence:double,reason:string,placeholder_kind:string,automatic:boolean,source:string>"
@@ -59,7 +59,7 @@ def visible_text(markup: str):
 
 
 def _summary(session: Session, text: str | None, edits: list, rescan: bool) -> dict:
-    suggestions = merge_suggestions(session.suggestions, residual(text or "") if rescan else [])
+    suggestions = merge_suggestions(session.suggestions, session.residual(text or "") if rescan else [])
     rules = range(len(session.rules))
     return {
         "text": text,

@@ -120,6 +120,7 @@ class Session:
         self._protected = frozenset(X.canonical("value", r.target) for r in self.rules if r.target)
         targets = [re.escape(r.target) for r in self.rules if r.target]
         self._targets = [re.compile(t) for t in targets]
+        self._seen: tuple[str | None, list[Detection]] = None, []
 
     @property
     def suggestions(self) -> list[Suggestion]:
@@ -170,9 +171,16 @@ class Session:
         """Detections outside what rules have put in, which is blanked for the detectors."""
         done = Apart(m.span() for t in self._targets for m in t.finditer(text))
         masked = splice(text, [Edit(a, b, " " * (b - a), "") for a, b in done.spans])
-        found = (d for d in detect(masked, safe_domains=self.safe_domains) if not done.met(d.start, d.end))
+        self._seen = masked, detect(masked, safe_domains=self.safe_domains)
+        found = (d for d in self._seen[1] if not done.met(d.start, d.end))
         return self._apply_detections(found, lambda d: not d.automatic)
 
+    def residual(self, text: str) -> list[Suggestion]:
+        """What the detectors find in an output text; one that they have just seen is not searched again."""
+        if self._seen[0] == text and self.safe_domains == V.SAFE_DOMAINS:
+            return merge_suggestions(map(suggestion, self._seen[1]))
+        return residual(text)
+
     def _entities(self, text: str) -> list[Edit]:
         ner = self.ner
         return self._apply_detections(ner.detect(text), lambda d: ner.suggest_only or d.confidence < ner.threshold)

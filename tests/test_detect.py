@@ -105,6 +105,13 @@ def test_suggestions():
     assert len(merge_suggestions(residual(many), residual(many), most=5)) == 5
 
 
+@pytest.mark.parametrize("text", ["clean", "Ana Pérez", "acme and Ana", "Acme S.A. 507-6000-0000", "maybe name ana pérez"])
+def test_what_is_left_is_what_a_new_search_finds(text):
+    s = Session([Rule("acme", "Demo Company", fuzzy_threshold=0)])
+    out = s.apply(text)
+    assert s.residual(out) == residual(out)
+
+
 def test_ner_without_scores_only_suggests():
     for score, out in ((None, "zeta quux"), (0.9, "zeta PERSON-0001")):
         s = Session(ner=Ner(lambda t, score=score: [("PER", t.find("quux"), t.find("quux") + 4, score)] if "quux" in t else []))
