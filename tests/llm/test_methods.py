@@ -188,6 +188,26 @@ def test_cuts_and_rounds(spark):
         assert len(bins) <= 1.12 * sum(r.length for r in rows) / 64
 
 
+def test_pack_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    enc, want, total = encoder(default_tokenizer()), Counter(), 0
+    for r in docs.collect():
+        ids = np.array([*enc.exact.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        total += len(ids)
+        first = len(ids) % 1024 or 1024
+        cut = [0, *range(first, len(ids), 1024), len(ids)]
+        want.update((r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)))
+    out = pack(docs).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 1024
+    assert len(bins) <= 1.02 * total / 1024 + 1
+
+
 def test_tokens_are_those_of_the_tokenizer():
     enc = encoder(default_tokenizer())
     for text in ("", "Hello  world\n\n x", "naïve façade 🙂 12345 don't", "<|endoftext|> a", " \t\n" * 50, "été" * 40):
