@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import vocabulary as V
 from .detect import detect
@@ -94,6 +97,22 @@ def anonymized(rules: Sequence[Rule] = (), markup: str | None = None, rescan: bo
     return run
 
 
+def edits(rules: Sequence[Rule] = (), ner: Ner | None = None, safe_domains: Sequence[str] = V.SAFE_DOMAINS):
+    """Column function: the edits of ``anonymized`` alone, none for null.
+
+    They do not depend on what an output still holds, so it is not searched; rows
+    go out as Arrow arrays, without a frame of Python objects between.
+    """
+    domains = tuple(safe_domains)
+    kind = to_arrow_type(DataType.fromDDL(f"array<{EDIT}>"))
+
+    @F.arrow_udf(f"array<{EDIT}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([Session(rules, ner, True, domains).apply_with_edits(t)[1] if t is not None else [] for t in texts.to_pylist()], kind)
+
+    return run
+
+
 def _fields() -> list[str]:
     out, depth, start = [], 0, 0
     for i, c in enumerate(RESULT):

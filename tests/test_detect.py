@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -6,6 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from maskwright.functions import text as X
+from maskwright.functions import vocabulary as V
+from maskwright.operators import columns as O
+from maskwright.operators import detect as D
 from maskwright.operators.detect import company_spans, detect
 from maskwright.operators.matching import Rule, WordBox, box_groups
 from maskwright.operators.select import Edit, choose, splice
@@ -157,3 +161,29 @@ def test_spans_lie_in_the_text_and_edits_apart(text):
     chosen = choose(edits).selected
     assert all(a.end <= b.start for a, b in zip(chosen, chosen[1:], strict=False))
     assert len(splice(text, chosen)) == len(text) - sum(e.end - e.start - 1 for e in chosen)
+
+
+def test_places_where_numbers_mails_and_labels_begin():
+    """Anchored searches against plain ones; letters that match i, s and k without folding to them, digits of other scripts."""
+    bits = "ID:|id - |İD: 12|ıd#A-1234|tax  id: X99|Cuenta: |account12345678|ſwift: ABCDEFGH1|(+507) |507-|6123-4567|x6123-4567|8-123-456|12/02/1990|٣/٣/٢٠١٠|a.b@c.de|%x@y.com|%%@|ñu@mail.test|\u212a@mail.com|@@c.com|\n|; |Valor: dato|ciudad :x|Proveedor-|12.5|é".split("|")
+    r = random.Random(3)
+    fields = (V.ADDRESS_FIELD, V.LOCATION_FIELD, V.VALUE_FIELD, V.COMPANY_FIELD)
+    for _ in range(3000):
+        text = "".join(r.choice(bits) + r.choice(["", " ", "-"]) for _ in range(r.randrange(12)))
+        hints = D._Hints(text)
+        spans = lambda found: [m.span() for m in found]
+        assert spans(D.mails(text)) == spans(V.EMAIL.finditer(text)), text
+        for pattern, starts in [*((p, hints.numbers) for p in (V.PHONE, V.IDENTIFIER, V.DATE)), *((p, hints.labels) for p in fields)]:
+            assert spans(D._matches(pattern, text, starts)) == spans(pattern.finditer(text)), (pattern, text)
+        for pattern, start in ((V.ACCOUNT, D._ACCOUNT_START), (V.IDENTIFIER_FIELD, D._IDENTIFIER_START)):
+            assert spans(D._matches(pattern, text, [m.start() for m in start.finditer(text)])) == spans(pattern.finditer(text)), (pattern, text)
+
+
+def test_edits_alone_are_those_of_the_whole_result(spark):
+    """``edits`` gives what ``anonymized`` reports; matchers of equal rules are made once."""
+    rules = (Rule("Beta Gamma", "Demo Company", fuzzy_threshold=0.0),)
+    texts = ["mail u5@mail.test; beta gamma", "", None, "Teléfono: 6005-0005", "nothing"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    both = rows.select(O.edits(rules)("text").alias("alone"), O.anonymized(rules)("text").alias("all")).collect()
+    assert [r.alone for r in both] == [r["all"].edits for r in both] and sum(map(len, (r.alone for r in both))) == 3
+    assert Session(rules).matchers is Session(list(rules)).matchers
