@@ -524,3 +524,41 @@ def test_classes_of_whole_pages():
 @pytest.mark.parametrize("page", ["<", "<a href='x>y", "<script>never closed <p>", "<!-- open <p>x", "a < b > c", "</p></p><p", "<p a=\"1\" b='2>3'>x</p>"])
 def test_broken_pages(page):
     read(page)
+
+
+def test_places_of_the_wrapper_choose_content(monkeypatch):
+    """A constant block of the same path as the text is told by its place in the aligned expression; alike pages keep what they share."""
+    same = "<p>Read more in our weekly letter.</p>"
+    page = lambda n, k: f"<body><article><h1>t{n}</h1>" + "".join(f"<p>text {n} {i} of some length, as texts have it that go on for a line or two more</p>" for i in range(k)) + f"<ul><li>a{n}</li></ul>{same}</article>"
+    pages = [page(n, 1 + n % 3) for n in range(8)] + [page(8, 2).replace(same, "")]
+    one, two = Wrapper(), Wrapper()
+    for n, p in enumerate(pages):
+        (one, two)[n % 2].add(p)
+    merged = Wrapper.load(one.dump())
+    merged.merge(Wrapper.load(two.dump()))
+    assert "weekly" in main_text(pages[0], merged.boilerplate())  # its path alone does not tell it
+    texts = [main_text(p, *html_extract._ruling(merged.dump())) for p in pages]
+    assert texts == [main_text(p.replace(same, "")) for p in pages]
+    # a page that has other text at that place keeps it
+    other = pages[1].replace("Read more in our weekly letter.", "The end of the story.")
+    assert main_text(other, *html_extract._ruling(merged.dump())).endswith("The end of the story.")
+    # without alignment there are no places
+    monkeypatch.setattr(html_extract, "align_places", lambda a, b: (a, [(k, 0) for k in range(len(a))], [(-1, 0)] * len(b)))
+    assert "weekly" in main_text(pages[0], *html_extract._ruling(merged.dump()))
+    monkeypatch.undo()
+    near = Wrapper()
+    body = "<body><article>" + "".join(f"<p>long paragraph {i} that all copies share</p><hr>" for i in range(9))
+    for n in range(6):
+        near.add(f"{body}<h2>edit {n}</h2>")
+    assert not near.fixed()
+
+
+def test_places_follow_alignments():
+    """Marks stay with their tokens through folding and alignment."""
+    for a, b in (("xa#yb#", "xa#a#a#zb#"), ("#", "a#a#"), ("p#qp#q", "p#qrp#q"), ("abc", "#x#")):
+        folded = [html_extract.fold_places(list(s)) for s in (a, b)]
+        merged, *where = align(*[[(x, 0) for x in f[0]] for f in folded]), *html_extract.align_places(*[[(x, 0) for x in f[0]] for f in folded])[1:]
+        flat = [list(html_extract._flat(x)) for x, _ in merged]
+        for text, (_, places), to in zip((a, b), folded, where, strict=True):
+            seen = [t for k, f in enumerate(places) for at, ts in enumerate(f) for t in ts if flat[to[k][0]][to[k][1] + at] == text[t]]
+            assert sorted(seen) == list(range(len(text)))
